@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quire.llm import quality, url_filter
+from quire.llm import langid, packing, quality, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filters": url_filter.op1_url_filters,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op4_language_id": langid.op4_language_id,
+        "op5_packing": packing.op5_packing,
     }
 
 
