@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import langid, packing, quality, url_filter
+from quire.llm import jaccard_join, langid, packing, quality, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": quality.op2_quality_rules,
         "op4_language_id": langid.op4_language_id,
         "op5_packing": packing.op5_packing,
+        "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
     }
 
 
