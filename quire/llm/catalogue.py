@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import jaccard_join, langid, packing, quality, substring_dedup, url_filter
+from quire.llm import decontaminate, jaccard_join, langid, packing, quality, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filters": url_filter.op1_url_filters,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op4_language_id": langid.op4_language_id,
         "op5_packing": packing.op5_packing,
         "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,

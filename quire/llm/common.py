@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What counts as white space between words, as SQL / Java / RE2 pattern and as bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,3 +105,13 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, doc_id: str, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows of docs whose id isn't in gone(id); rows without an id stay.
+
+    The ids are written first, so their number is known: up to broadcast_rows they are broadcast (a few MB), else both
+    sides are shuffled."""
+    ids = materialise(gone.select(gone[gone.columns[0]].alias("__gone")).distinct(), "ids")
+    side = F.broadcast(ids) if ids.limit(broadcast_rows + 1).count() <= broadcast_rows else ids
+    return docs.join(side, docs[doc_id] == side["__gone"], "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import blobs
-from quire.llm.common import free_shuffles, materialise, partitions, shingle_hashes, word_hashes, words_of
+from quire.llm.common import free_shuffles, materialise, partitions, shingle_hashes, without_ids, word_hashes
 from quire.llm.components import connected_components
 
 U, I = np.uint64, np.int64
@@ -339,8 +339,8 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), doc_i
 
 def near_duplicates_removed(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its component; rows without an id stay."""
-    gone = jaccard_components(docs, params, doc_id, text).where(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    found = jaccard_components(docs, params, doc_id, text)
+    return without_ids(docs, found.where(F.col("component_id") != F.col(doc_id)).select(doc_id), doc_id)
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
