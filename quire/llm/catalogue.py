@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, jaccard_join, langid, packing, quality, substring_dedup, url_filter
+from quire.llm import decontaminate, html_text, jaccard_join, langid, packing, quality, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_language_id": langid.op4_language_id,
         "op5_packing": packing.op5_packing,
+        "op7_html_text": html_text.op7_html_text,
         "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
