@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, html_text, jaccard_join, langid, packing, quality, substring_dedup, url_filter
+from quire.llm import chat_format, decontaminate, html_text, jaccard_join, langid, packing, quality, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_language_id": langid.op4_language_id,
         "op5_packing": packing.op5_packing,
+        "op6_chat_preference": chat_format.op6_chat_preference,
         "op7_html_text": html_text.op7_html_text,
         "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.SQL, "op2_quality_rules": quality.SQL}
+    return {"op1_url_filters": url_filter.SQL, "op2_quality_rules": quality.SQL, "op6_chat_preference": chat_format.SQL}
