@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat_format, decontaminate, html_text, jaccard_join, langid, packing, quality, substring_dedup, url_filter
+from quire.llm import chat_format, decontaminate, html_text, jaccard_join, langid, packing, quality, substring_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_chat_preference": chat_format.op6_chat_preference,
         "op7_html_text": html_text.op7_html_text,
         "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
+        "op9_token_counts": token_counts.op9_token_counts,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
