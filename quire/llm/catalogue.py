@@ -5,6 +5,12 @@ from __future__ import annotations
 from quire.llm import chat_format, decontaminate, html_text, jaccard_join, langid, packing, quality, substring_dedup, token_counts, url_filter
 
 
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline  # at the repository's top; it imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_url_filters": url_filter.op1_url_filters,
@@ -17,6 +23,7 @@ def queries() -> dict:
         "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "pipeline": _pipeline,
     }
 
 
