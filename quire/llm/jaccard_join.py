@@ -14,9 +14,12 @@ estimated cost: the postings that a prefix meets, and the candidates that are le
 classes are candidates if their prefixes share at least the smaller m of the two.  Candidates are verified on their
 whole sets.
 
-Large groups.  First each posting list is joined with its smallest member only, which is linear, and what verifies is
-merged.  After that, only pairs of different components need a candidate check, which for a group of near copies are
-few.  Every pair that may link is either verified or already connected, so no link between components is lost.
+Large groups.  Posting lists of more than `long_list` members are not spelt out as pairs.  All long lists with the same
+smallest member form one group, so every pair of a long list is in some group.  Members are verified against the
+smallest one, which is linear and merges most of a group of near copies; then the members outside the group's largest
+component are the queries of a block join with the whole group: blocks of sets are compared in one task through an
+inverted index, and only one link for each query and component comes out.  The pairs of short lists are spelt out last,
+and only between different components.  Every pair that may link is either verified or already connected.
 """
 
 from __future__ import annotations
@@ -44,6 +47,9 @@ class JoinParams:
     threshold: Fraction = Fraction(3, 4)
     matches_percent: int = 15  # m of the first filter, in percent of the set
     most_matches: int = 8  # largest m that a class may choose in the join
+    long_list: int = 16  # members up to which a posting list is spelt out as pairs
+    queries_per_block: int = 256
+    members_per_block: int = 1024
     broadcast_rows: int = 100_000  # ids up to which the survivors' ids are broadcast; beyond that, a shuffle join
 
 
@@ -232,60 +238,110 @@ def _matches(df: np.ndarray, n: int, alpha: int, most: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def _pairs(prefixes: DataFrame, labels: DataFrame | None, p: JoinParams, parts: int) -> DataFrame:
-    """Candidate pairs a < b.  Without labels: each posting list's smallest member with the others.  With labels: pairs
-    of different components whose prefixes share as many shingles as the smaller m of the two asks for."""
+def _postings(prefixes: DataFrame, labels: DataFrame | None, parts: int) -> DataFrame:
+    """Packed (shingle, node, n, m, component), dealt by shingle."""
     rows = prefixes.select("node", "n", "m", "prefix")
     if labels is None:
         rows = rows.withColumn("component", F.col("node"))
     else:
         rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = rows.select("node", "n", "m", "component", "prefix")
-    types = [U, I, I, np.int32, I]
-    t, stars = p.threshold, labels is None
 
-    def postings(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    def emit(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         at, values = _explode(b, 4)
-        node, n, m, component = (b.column(i).to_numpy()[at] for i in range(4))
-        yield (values % U(parts)).astype(I), [values, node, n, m, component]
+        yield (values % U(parts)).astype(I), [values, *(b.column(i).to_numpy()[at] for i in range(4))]
 
-    def out(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(m.astype(np.int32))], ["a", "b", "m"])
+    return blobs.deal(rows.select("node", "n", "m", "component", "prefix"), parts, _POSTING, emit)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, n, m, component = blobs.unpack(batches, types)
-        order = np.lexsort((node, token))
-        token, node, n, m, component = (x[order] for x in (token, node, n, m, component))
-        if not len(token):
-            return
-        edges = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-        if stars:
-            leader = np.repeat(edges[:-1], np.diff(edges))
-            a, b = node[leader], node
-            ok = (a != b) & _fits(n[leader], n, t)
-            pair = np.unique(np.stack([a[ok], b[ok]]), axis=1)
-            yield out(pair[0], pair[1], np.ones(pair.shape[1]))
-            return
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if e - s < 2 or (component[s:e] == component[s]).all():
-                continue
-            for i in range(s, e - 1):
-                other = np.flatnonzero((component[i + 1 : e] != component[i]) & _fits(n[i], n[i + 1 : e], t)) + i + 1
-                if len(other):
-                    held.append([np.full(len(other), node[i]), node[other], np.minimum(m[i], m[other])])
-                    size += len(other)
-            if size > 200_000:
-                yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, size = [], 0
-        if held:
-            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    met = blobs.deal(rows, parts, types, postings).mapInArrow(join, "a long, b long, m int")
+
+_POSTING = [U, I, I, np.int32, I]
+
+
+def _posting_lists(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of a partition's postings in order of (shingle, node), and the edges of the lists."""
+    columns = blobs.unpack(batches, _POSTING)
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [x[order] for x in columns]
+    token = columns[0]
+    edges = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)) if len(token) else np.zeros(1, I)
+    return columns, edges
+
+
+def _long_groups(prefixes: DataFrame, p: JoinParams, parts: int) -> DataFrame:
+    """group, node: the members of all long lists with the same smallest member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (_, node, *_), edges = _posting_lists(batches)
+        sizes = np.diff(edges)
+        big = np.repeat(sizes > p.long_list, sizes)
+        leader = node[np.repeat(edges[:-1], sizes)][big]
+        if len(leader):
+            pair = np.unique(np.stack([leader, node[big]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["group", "node"])
+
+    return materialise(_postings(prefixes, None, parts).mapInArrow(run, "group long, node long").distinct(), "groups")
+
+
+def _short_pairs(prefixes: DataFrame, labels: DataFrame, p: JoinParams, parts: int) -> DataFrame:
+    """Pairs a < b of short lists, of different components, that share as many prefix shingles as the smaller m of the two.
+
+    A pair that also shares a long list was compared there; any other pair shares short lists only, so its count is whole."""
+    t = p.threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (_, node, n, m, component), edges = _posting_lists(batches)
+        sizes = np.diff(edges)
+        for step in range(1, p.long_list):  # each member with the one `step` places further in its list
+            place = np.arange(len(node)) - np.repeat(edges[:-1], sizes)
+            i = np.flatnonzero(np.repeat((sizes <= p.long_list) & (sizes > step), sizes) & (place + step < np.repeat(sizes, sizes)))
+            j = i + step
+            ok = (component[i] != component[j]) & (node[i] != node[j]) & _fits(n[i], n[j], t)
+            i, j = i[ok], j[ok]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(np.minimum(m[i], m[j]))], ["a", "b", "m"])
+
+    met = _postings(prefixes, labels, parts).mapInArrow(run, "a long, b long, m int")
     return met.groupBy("a", "b").agg(F.min("m").alias("m"), F.count("*").alias("n")).where("n >= m").select("a", "b")
 
 
+def _block_links(groups: DataFrame, labels: DataFrame, prefixes: DataFrame, p: JoinParams) -> DataFrame:
+    """a, b: for each member outside its group's largest component, a link to each other component that it has one to."""
+    members = groups.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+    each = members.groupBy("group", "component").count()
+    whole = each.groupBy("group").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("members"), F.max("count").alias("most")).where("members > most")
+    whole = whole.select("group", "main", F.ceil(F.col("members") / p.members_per_block).cast("int").alias("mb"), F.ceil((F.col("members") - F.col("most")) / p.queries_per_block).cast("int").alias("qb"))
+    rows = members.join(whole, "group").join(prefixes.select("node", "tokens"), "node")
+    draw = F.xxhash64("node", F.lit(3))
+    asked = rows.where("component <> main").select("group", F.pmod(draw, F.col("qb")).cast("int").alias("i"), F.explode(F.expr("sequence(0, mb - 1)")).alias("j"), F.lit(True).alias("query"), "node", "component", "tokens")
+    told = rows.select("group", F.explode(F.expr("sequence(0, qb - 1)")).alias("i"), F.pmod(draw, F.col("mb")).cast("int").alias("j"), F.lit(False).alias("query"), "node", "component", "tokens")
+    num, den = p.threshold.numerator, p.threshold.denominator
+
+    def compare(table: pa.Table) -> pa.Table:
+        query = table.column("query").to_numpy()
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        sets = [np.frombuffer(x, U) for x in table.column("tokens").to_pylist()]
+        sizes = np.array([len(x) for x in sets], I)
+        told = np.flatnonzero(~query)
+        token = np.concatenate([sets[i] for i in told]) if len(told) else np.zeros(0, U)
+        owner = np.repeat(np.arange(len(told)), sizes[told])
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        found: list[np.ndarray] = []
+        for q in np.flatnonzero(query):
+            low, high = np.searchsorted(token, sets[q], "left"), np.searchsorted(token, sets[q], "right")
+            length = high - low
+            at = np.repeat(low - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+            common = np.bincount(owner[at], minlength=len(told))
+            hit = told[den * common >= num * (sizes[q] + sizes[told] - common)]
+            hit = hit[component[hit] != component[q]]
+            if len(hit):
+                _, one = np.unique(component[hit], return_index=True)
+                found.append(np.stack([np.full(len(one), node[q]), node[hit[one]]]))
+        pair = np.concatenate(found, axis=1) if found else np.zeros((2, 0), I)
+        return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+
+    return asked.unionAll(told).groupBy("group", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _fits(n: np.ndarray, other: np.ndarray, t: Fraction) -> np.ndarray:
     """Whether two set sizes allow the threshold."""
     low, high = np.minimum(n, other), np.maximum(n, other)
@@ -324,12 +380,15 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), doc_i
     free_shuffles(spark)
     prefixes = _prefixes(_tokens_of(rows, left, p, parts), p, parts)
     free_shuffles(spark)
-    links = materialise(_verify(_pairs(prefixes, None, p, parts), prefixes, p), "links")
+    groups = _long_groups(prefixes, p, parts)
+    stars = groups.where("group <> node").select(F.col("group").alias("a"), F.col("node").alias("b"))
+    links = materialise(_verify(stars, prefixes, p), "links")
+    labels = connected_components(links)
+    links = links.unionAll(materialise(_block_links(groups, labels, prefixes, p), "links"))
     labels = connected_components(links)
     free_shuffles(spark)
-    more = materialise(_verify(_pairs(prefixes, labels, p, parts), prefixes, p), "links")
-    if not more.isEmpty():
-        labels = connected_components(links.unionAll(more))
+    more = materialise(_verify(_short_pairs(prefixes, labels, p, parts), prefixes, p), "links")
+    labels = connected_components(links.unionAll(more))
     found = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     docs_of = table.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("key"))
     some, none = docs_of.where("n_shingles > 0"), docs_of.where("n_shingles = 0")
