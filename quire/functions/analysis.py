@@ -107,12 +107,11 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
-def porter_udf(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in words:
-        yield s.map(porter)
+def _stem_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(stem=b["token"].map(porter))
 
 
 def stems(tokens: DataFrame, token: str = "token") -> DataFrame:
     """(token, stem) of the distinct tokens: Python runs once per distinct token, never per occurrence."""
-    return tokens.select(token).distinct().withColumn("stem", porter_udf(F.col(token)))
+    return tokens.select(F.col(token).alias("token")).distinct().mapInPandas(_stem_batches, "token string, stem string")

@@ -21,13 +21,13 @@ def claim(queue: DataFrame, n: int, by: list[str], now: Column, stale_seconds: i
 def reset_stale(queue: DataFrame, now: Column, stale_seconds: int = 1800) -> DataFrame:
     """All items; stale claims are pending again."""
     stale = (F.col("status") == "processing") & (F.col("claimed_at") < now - F.expr(f"interval {stale_seconds} seconds"))
-    return queue.withColumn("status", F.when(stale, "pending").otherwise(F.col("status"))).withColumn("claimed_at", F.when(~stale, F.col("claimed_at")))
+    return queue.withColumns({"status": F.when(stale, "pending").otherwise(F.col("status")), "claimed_at": F.when(~stale, F.col("claimed_at"))})
 
 
 def route_failures(items: DataFrame, max_retries: int = 3) -> DataFrame:
     """All items with `route`: requeue for a transient error with retries left, else dead_letter."""
     again = F.col("transient") & (F.col("retry_count") < max_retries)
-    return items.withColumn("route", F.when(again, "requeue").otherwise("dead_letter")).withColumn("retry_count", F.col("retry_count") + again.cast("int"))
+    return items.withColumns({"route": F.when(again, "requeue").otherwise("dead_letter"), "retry_count": F.col("retry_count") + again.cast("int")})
 
 
 def status_pivot(queue: DataFrame, by: list[str], statuses: tuple[str, ...] = STATUSES) -> DataFrame:

@@ -46,7 +46,7 @@ def sanitise(state: DataFrame, defaults: dict[str, str]) -> DataFrame:
 def upsert(base: DataFrame, updates: DataFrame, key: str, seq: str) -> DataFrame:
     """Whole-row replacement: the last update of each key, else the base row."""
     cols = [c for c in base.columns if c != key]
-    latest = updates.groupBy(key).agg(F.max(F.struct(F.col(seq), *[F.col(c) for c in cols])).alias("u")).select(key, *[F.col(f"u.{c}").alias(c) for c in cols])
+    latest = updates.groupBy(key).agg(F.max(F.struct(F.col(seq).alias("__seq"), *[F.col(c) for c in cols])).alias("u")).select(key, *[F.col(f"u.{c}").alias(c) for c in cols])
     return base.join(latest.select(key), key, "left_anti").select(key, *cols).unionByName(latest)
 
 

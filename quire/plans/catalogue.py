@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents
+from quire.plans import documents, queues, reports
 
-_MODULES = (documents,)
+_MODULES = (documents, queues, reports)
 
 
 def queries() -> dict:
