@@ -118,8 +118,6 @@ def _stage(rules: list[Rule]) -> Callable[[Column], Column]:
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit("(?i)" + quoted(a)).alias("p")) for _, _, a, b in rules])
 
     def fold(x: Column) -> Column:
-        low = F.lower(x["text"])
-
         def literal(acc: Column, r: Column) -> Column:
             gone = (F.length(acc["text"]) - F.length(F.replace(acc["text"], r["a"], F.lit("")))) / F.length(r["a"])
             return F.struct(F.replace(acc["text"], r["a"], r["b"]).alias("text"), (acc["n"] + gone.cast("long")).alias("n"))
@@ -127,9 +125,12 @@ def _stage(rules: list[Rule]) -> Callable[[Column], Column]:
         def phrase(acc: Column, r: Column) -> Column:
             return F.struct(F.regexp_replace(acc["text"], r["p"], r["b"]).alias("text"), (acc["n"] + F.regexp_count(acc["text"], r["p"])).alias("n"))
 
-        used = F.filter(table, lambda r: F.contains(low, r["a"]) if kind == "phrase" else F.lit(True))
+        def used(before: Column) -> Column:  # no replacement of a stage makes another's pattern, so the text before it tells
+            return F.filter(table, lambda r: F.contains(before, r["a"]))
+
+        rules_used = let(F.lower(x["text"]) if kind == "phrase" else x["text"], used)
         start = F.struct(x["text"].alias("text"), x["n"].cast("long").alias("n"))
-        return F.aggregate(used, start, phrase if kind == "phrase" else literal)
+        return F.aggregate(rules_used, start, phrase if kind == "phrase" else literal)
 
     return fold
 

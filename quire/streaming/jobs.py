@@ -40,24 +40,25 @@ def first_seen(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late).dropDuplicatesWithinWatermark([key])
 
 
-def breaker(events: DataFrame, limit: int = 5, open_ms: int = 60_000) -> DataFrame:
-    """worker, state: open after `limit` failures in a row, half-open when the time is over, closed after a success."""
+def breaker(events: DataFrame, limit: int = 5, open_seconds: int = 60) -> DataFrame:
+    """worker, state: open after `limit` failures in a row; the first event `open_seconds` later finds it half-open and closes
+    it by a success or opens it again by a failure.  Time is the events' own, so a replay gives the same states."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, name = state.get if state.exists else (0, "closed")
-        if state.hasTimedOut:
-            name = "half-open"
+        failures, opened = state.get if state.exists else (0, -1.0)
         for b in batches:
-            for failed in b.sort_values("ts")["failed"]:
+            for at, failed in b.sort_values("at")[["at", "failed"]].itertuples(index=False):
+                half_open = opened >= 0 and at - opened >= open_seconds
                 failures = failures + 1 if failed else 0
-                name = "open" if failures >= limit else "closed"
-        state.update((failures, name))
-        if name == "open":
-            state.setTimeoutDuration(open_ms)
-        yield pd.DataFrame({"worker": [key[0]], "state": [name]})
-
-    rows = events.select(F.col("user_id").alias("worker"), "ts", (F.col("event_type") == "error").alias("failed"))
-    return rows.groupBy("worker").applyInPandasWithState(step, "worker long, state string", "failures int, name string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+                if failed and (half_open or (opened < 0 and failures >= limit)):
+                    opened = float(at)
+                elif not failed and (half_open or opened < 0):
+                    opened = -1.0
+        state.update((failures, opened))
+        yield pd.DataFrame({"worker": [key[0]], "state": ["open" if opened >= 0 else "closed"]})
+
+    rows = events.select(F.col("user_id").alias("worker"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at") / 1e6, (F.col("event_type") == "error").alias("failed"))
+    return rows.toDF("worker", "at", "failed").groupBy("worker").applyInPandasWithState(step, "worker long, state string", "failures int, opened double", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_once(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
