@@ -95,6 +95,8 @@ class Model:
         if not 0 <= max_order <= 4:
             raise ValueError("max_order must lie between 0 and 4")
         self.langs, self.max_order = sorted(texts), max_order
+        if not texts:  # nothing learnt: predict() answers und
+            return
         pad = b"\0" * max_order
         data = {x: np.frombuffer(b"".join(pad + t for t in texts[x]), np.uint8) for x in self.langs}
         body = {x: np.concatenate([np.r_[np.zeros(max_order, bool), np.ones(len(t), bool)] for t in texts[x]]) for x in self.langs}

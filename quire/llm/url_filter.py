@@ -127,7 +127,7 @@ class Cascade:
         return out & key.isNotNull()
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, fpp: float = 1e-3, max_bits: int = 1 << 20, salt: int = 0) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, fpp: float = 1e-3, max_bits: int = 1 << 20, salt: int = 0, later_fpp: float = 0.01) -> Cascade:
     """listed, universe: DataFrames with a column `key` (universe: rows may repeat). Empty lists give no levels."""
     listed = listed.select("key").where(F.col("key").isNotNull()).distinct()
     n = listed.count()
@@ -144,7 +144,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, fpp: float = 1e-3, max
         fpp *= 1e-3
     levels, inside, outside, n_in = [first], wrong, listed, n_wrong
     while n_in:
-        level = _level(inside, n_in, 0.01, salt + len(levels), max_bits)
+        level = _level(inside, n_in, later_fpp, salt + len(levels), max_bits)
         if level is None:
             raise ValueError("a level of the cascade needs more than max_bits")
         levels.append(level)
