@@ -51,10 +51,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NOISE_TAGS = frozenset("head nav footer aside form dialog menu button select option svg canvas object audio video map math script style noscript template iframe".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner billboard sponsor sponsored promo promotion nav navigation navbar menu menubar breadcrumb breadcrumbs header masthead "
+    "ad ads adv advert adverts advertisement advertising adsense banner billboard sponsor sponsored promo promotion nav navigation navbar menu menubar breadcrumb breadcrumbs header masthead topbar "
     "footer foot sidebar side aside rail widget widgets cookie cookies consent gdpr notice notices alert popup overlay modal newsletter subscribe subscription signup signin login register share sharing social "
     "related recommended recommendations pagination pager comment comments commentlist reply replies respond disqus discussion form search copyright legal disclaimer toolbar skip hidden".split()
 )
+ARTICLE_WORDS = frozenset("article story hentry".split())
+TITLE_WORDS = frozenset("header masthead".split())  # of an article, these hold its title
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "thead": ("tbody", "tr", "td", "th")}
 SCOPES = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table", "tr")), "th": frozenset(("table", "tr")), "option": frozenset(("select",)), "tbody": frozenset(("table",)), "thead": frozenset(("table",))}
@@ -78,23 +80,26 @@ class _Open:
         self.children: list[str] = []
 
 
-_marks_cache: dict[str, tuple[str, bool, bool]] = {}
+_marks_cache: dict[str, tuple[str, bool, bool, bool]] = {}
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool]:
-    """What class, id and role say: a key for the place, whether it is noise, whether it is the article."""
+def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
+    """What class, id and role say: a key for the place, whether it is noise, the same inside an article, and whether it is the
+    article."""
     found = _marks_cache.get(attributes)
     if found is None:
-        key, noise, article = [], False, False
+        key, noise, inside, article = [], False, False, False
         for name, a, b, c in _MARKS.findall(attributes):
             value = a or b or c
             words = set(_SPLIT.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()).split())
             key.append(f"{name.lower()}={value}")
-            noise |= bool(words & (NOISE_ROLES if name.lower() == "role" else NOISE_WORDS))
-            article |= name.lower() == "role" and bool(words & {"main", "article"})
+            role = name.lower() == "role"
+            noise |= bool(words & (NOISE_ROLES if role else NOISE_WORDS))
+            inside |= bool(words & (NOISE_ROLES if role else NOISE_WORDS - TITLE_WORDS))
+            article |= bool(words & ({"main", "article"} if role else ARTICLE_WORDS))
         if len(_marks_cache) > 50_000:
             _marks_cache.clear()
-        found = _marks_cache[attributes] = ("|".join(sorted(key)), noise, article)
+        found = _marks_cache[attributes] = ("|".join(sorted(key)), noise, inside, article)
     return found
 
 
@@ -177,10 +182,10 @@ def blocks_of(page: str | None) -> tuple[list[tuple[int, bool, str]], list[tuple
             at = close_at.end() if close_at else end
             continue
         up = stack[-1]
-        key, noisy, main = _marks(attributes) if "=" in attributes else ("", False, False)
+        key, noisy, inside, main = _marks(attributes) if "=" in attributes else ("", False, False, False)
         root = tag in ("html", "body", "main", "article")
         article = up.article or tag in ("article", "main") or main
-        noise = up.noise or tag in NOISE_TAGS or (noisy and not root) or (tag == "header" and not up.article)
+        noise = up.noise or tag in NOISE_TAGS or ((inside if up.article else noisy) and not root) or (tag == "header" and not up.article)
         block = tag not in INLINE
         place = _hash(up.place, tag, key) if block else up.place
         if block:

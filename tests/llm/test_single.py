@@ -226,3 +226,9 @@ def test_token_counts_equal_plain_dynamic_programming(spark):
     n = sum(plain(w) for w in text.split())
     assert got == {1: (len(text.split()), n), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (2 * len(text.split()), 2 * n)}
     assert token_counts.token_counts(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_title_block_of_an_article_stays(spark):
+    body = '<div class="topbar">Top</div><div class="story"><div class="story-header"><h1>Title</h1></div><p>Body</p><div class="related-links">R</div></div>'
+    got = html_text.main_text(spark.createDataFrame([page(body)], "page_id long, url string, html string")).first()
+    assert got["text"] == "Title Body"
