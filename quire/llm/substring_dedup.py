@@ -7,8 +7,8 @@ What ends a run depends on its words alone, so a passage gives the same runs whe
 whole corpus by hash; the first occurrence, by document id and place, stays, and the words of all sentences that any other
 occurrence of a repeated run covers are removed.
 
-The join deals packed (hash, id, place) values by hash; a run that very many documents have adds 24 bytes for each of them
-to one partition.  Texts move once, with the spans to remove."""
+The join deals packed (hash, id, place) values by hash; of a run that very many documents have, only the first occurrence
+in each batch goes to the run's partition.  Texts move once, with the spans to remove."""
 
 from __future__ import annotations
 
@@ -81,7 +81,7 @@ def runs(text: str | None, p: SpanParams) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _removals(docs: DataFrame, p: SpanParams, parts: int) -> DataFrame:
     """doc_id and packed (first word, words) of the non-first occurrences of repeated runs."""
-    types = [U, I, np.int32, np.int32]
+    types = [U, I, np.int32, np.int32, np.uint8]
 
     def emit(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(I)
@@ -90,21 +90,24 @@ def _removals(docs: DataFrame, p: SpanParams, parts: int) -> DataFrame:
             found = [runs(t, p) for t in texts[at : at + 4096]]
             counts = [len(f[0]) for f in found]
             h, s, n = (np.concatenate([f[i] for f in found]) for i in range(3))
-            yield (h % U(parts)).astype(I), [h, np.repeat(ids[at : at + 4096], counts), s, n]
+            doc = np.repeat(ids[at : at + 4096], counts)
+            order = np.lexsort((s, doc, h))
+            h, doc, s, n = h[order], doc[order], s[order], n[order]
+            # what has an earlier occurrence in the batch is known to go: it is dealt by document, so a run that very many
+            # documents have gives its own partition one value a batch
+            known = _later(h, doc, s)
+            yield np.where(known, mix(doc.view(U)) % U(parts), h % U(parts)).astype(I), [h, doc, s, n, known.astype(np.uint8)]
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, doc, s, n = blobs.unpack(batches, types)
-        if not len(h):
-            return
-        _, index, count = np.unique(h, return_inverse=True, return_counts=True)
-        keep = count[index] > 1
-        h, doc, s, n = h[keep], doc[keep], s[keep], n[keep]
+        h, doc, s, n, known = blobs.unpack(batches, types)
+        done = known == 1
+        gone = [(doc[done], s[done], n[done])]
+        h, doc, s, n = (x[~done] for x in (h, doc, s, n))
         order = np.lexsort((s, doc, h))
         h, doc, s, n = h[order], doc[order], s[order], n[order]
-        same = np.append(False, h[1:] == h[:-1])[: len(h)]
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-        later = (doc != doc[head]) | (s != s[head])
-        doc, s, n = doc[later], s[later], n[later]
+        later = _later(h, doc, s)
+        gone.append((doc[later], s[later], n[later]))
+        doc, s, n = (np.concatenate(x) for x in zip(*gone, strict=True))
         order = np.lexsort((s, doc))
         doc, spans = doc[order], np.stack([s[order], n[order]], axis=1)
         owners, sizes = np.unique(doc, return_counts=True)
@@ -114,6 +117,13 @@ def _removals(docs: DataFrame, p: SpanParams, parts: int) -> DataFrame:
     return blobs.deal(docs, parts, types, emit).mapInArrow(repeated, "doc_id long, spans binary")
 
 
+def _later(h: np.ndarray, doc: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Of values in order of (h, doc, s): whether an earlier place has the same hash."""
+    same = np.append(False, h[1:] == h[:-1])[: len(h)]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h)))) if len(h) else np.zeros(0, I)
+    return (doc != doc[head]) | (s != s[head])
+
+
 def cut(text: str, spans: np.ndarray) -> tuple[str, int]:
     """The text without the words of the spans (rows of first word and words), and how many words went."""
     where = [m.span() for m in _WORDS.finditer(text)]
