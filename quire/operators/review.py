@@ -39,3 +39,21 @@ def current_reviews(log: DataFrame) -> DataFrame:
     """The last action of each review; a revert leaves it pending."""
     last = log.groupBy("review_id").agg(F.max(F.struct("seq", "action")).alias("x"))
     return last.select("review_id", F.when(F.col("x.action") == "revert", "pending").otherwise(F.col("x.action")).alias("status"))
+
+
+def cancelled_actions(log: DataFrame) -> DataFrame:
+    """The log with `is_cancelled`: actions that a later revert of the same review undoes; reverts themselves stand."""
+    last = log.where("action = 'revert'").groupBy("review_id").agg(F.max("seq").alias("__r"))
+    out = log.join(last, "review_id", "left")
+    return out.withColumn("is_cancelled", F.coalesce((F.col("seq") < F.col("__r")) & (F.col("action") != "revert"), F.lit(False))).drop("__r")
+
+
+def auto_tag_siblings(reviews: DataFrame, similarity: DataFrame, least: float = 0.90) -> DataFrame:
+    """Pending siblings (signature, stamp, logo) of accepted snippets of the same document with enough similarity.
+
+    similarity(a, b, s) holds snippet pairs; each pending snippet takes the most similar accepted one."""
+    kinds = F.col("snippet_type").isin("signature", "stamp", "logo")
+    done = reviews.where((F.col("status") == "accepted") & kinds).select(F.col("review_id").alias("a"), F.col("doc_id").alias("da"), F.col("snippet_type").alias("label"))
+    todo = reviews.where((F.col("status") == "pending") & kinds).select(F.col("review_id").alias("b"), F.col("doc_id").alias("db"))
+    near = similarity.where(F.col("s") >= least).join(done, "a").join(todo, "b").where("da = db")
+    return near.groupBy("b").agg(F.max_by("label", F.struct("s", (-F.col("a")).alias("a"))).alias("label")).withColumnRenamed("b", "review_id")

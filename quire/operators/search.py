@@ -139,6 +139,53 @@ def fuzzy_terms(tokens: DataFrame, terms: DataFrame, prefix: int = 3) -> DataFra
     return near.select("term", "token", F.levenshtein("term", "token").alias("distance"), most.alias("most")).where("distance <= most").drop("most")
 
 
+def tier_score(name: Column, path: Column, main: Column, ocr: Column, embedded: Column, q: str) -> Column:
+    """Five tiers: exact name 100; phrases 80, 60, 50, 50, 40; all terms over all fields 35; three quarters of them in one field
+    20; a near term 10; and 15 for each confusable form of the query in the recognised text."""
+    words = re.findall(r"[^\W_]+", q.lower())
+    need = minimum_should_match(len(dict.fromkeys(words)))
+    tokens = F.struct(*[search_tokens(c).alias(f"f{i}") for i, c in enumerate((name, path, main, ocr, embedded))])
+
+    def score(t: Column) -> Column:
+        fields = [t[f"f{i}"] for i in range(5)]
+        out = F.when(F.lower(F.coalesce(name, F.lit(""))) == q.lower(), 100.0).otherwise(0.0)
+        for f, boost in zip(fields, (80.0, 60.0, 50.0, 50.0, 40.0), strict=True):
+            out = out + F.when(has_phrase(f, words), boost).otherwise(0.0)
+        everywhere = F.concat(*fields)
+        out = out + F.when(matched_terms(everywhere, tuple(words)) == len(dict.fromkeys(words)), 35.0).otherwise(0.0)
+        out = out + F.when(F.greatest(*[matched_terms(f, tuple(words)) for f in fields]) >= need, 20.0).otherwise(0.0)
+        near = F.lit(False)
+        for w in dict.fromkeys(words):
+            most = 0 if len(w) <= 2 else 1 if len(w) <= 5 else 2
+            near = near | _any_near(everywhere, w, most)
+        out = out + F.when(near, 10.0).otherwise(0.0)
+        for v in ocr_variants(q.lower()):
+            out = out + F.when(has_phrase(fields[3], re.findall(r"[^\W_]+", v)), 15.0).otherwise(0.0)
+        return out
+
+    return let(tokens, score)
+
+
+def _any_near(tokens: Column, term: str, most: int) -> Column:
+    return F.exists(tokens, lambda x: (F.substring(x, 1, 3) == term[:3]) & (F.abs(F.length(x) - len(term)) <= most) & (F.levenshtein(x, F.lit(term)) <= most))
+
+
+def highlight(c: Column, terms: list[str], before: str = "<mark>", after: str = "</mark>") -> Column:
+    """Every term of three letters or more between marks, case kept."""
+    long = [re.escape(t) for t in terms if len(t) >= 3]
+    return F.regexp_replace(c, f"(?i)({'|'.join(long)})", f"{before}$1{after}") if long else c
+
+
+def snippet_choice(reviewed: Column, main: Column, embedded: Column, ocr: Column, name: Column) -> Column:
+    """struct(snippet, field): the first source that has text; embedded text needs over 50 characters and no property listing."""
+    has = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
+    use = [("reviewed", reviewed, has(reviewed)), ("main_content", main, has(main)), ("embedded_content", embedded, (F.length(embedded) > 50) & ~embedded.contains("docProps")), ("ocr_content", ocr, has(ocr)), ("file_name", name, F.lit(True))]
+    text, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for f, c, ok in reversed(use):
+        text, label = F.when(ok, c).otherwise(text), F.when(ok, f).otherwise(label)
+    return F.struct(text.alias("snippet"), label.alias("field"))
+
+
 def ocr_variants(q: str, limit: int = 8) -> list[str]:
     """Recognition confusions of a query, each once and everywhere, sorted."""
     out = {q.replace(" ", "")} if " " in q else set()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import accuracy as A
 from quire.functions import analysis
 from quire.functions.text import format_size, seconds_to_human, snippet
-from quire.operators import review, search, vectors
+from quire.operators import ocr, review, search, vectors
 from quire.sources.tables import registry, table
 
 TERMS = ("the", "with", "und", "contract", "der")
@@ -169,11 +169,54 @@ def vector_norms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
 
 
+def tier_scores(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", search.tier_score(F.col("source"), F.col("lang"), F.col("text"), F.col("text"), F.lit(""), "of the").alias("score"))
+
+
+def highlights(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(search.highlight(F.col("text"), ["with", "und"]), 256).alias("marked_hash"))
+
+
+def best_attempts(spark, d):
+    c = table(spark, d, "conversations")
+    rows = c.select("conv_id", F.col("turn").cast("int").alias("attempt"), "text", (F.length("text") % 97).cast("double").alias("confidence"), (F.length("text") % 5 == 0).alias("valid"))
+    return ocr.best_attempts(rows, "conv_id").select("conv_id", "attempt", "confidence", "valid")
+
+
+def joined_pages(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("page"), "text", (F.length("text") % 97).cast("double").alias("confidence"))
+    return ocr.join_pages(c, "conv_id", 3)
+
+
+def snippet_policy(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("page"), F.col("l_linenumber").alias("snippet_id"), F.element_at(F.array(F.lit("signature"), F.lit("logo"), F.lit("stamp")), (F.col("l_partkey") % 3 + 1).cast("int")).alias("type"), F.col("l_discount").alias("impact"))
+    return ocr.snippet_policy(li, ["signature", "logo"], {"signature": 0.05, "logo": 0.02}, {"logo": 1})
+
+
+def snippet_artefacts(spark, d):
+    li = table(spark, d, "lineitem")
+    box = F.array(F.lit(10.0), F.lit(20.0), F.lit(10.0) + F.col("l_quantity") * 47, F.lit(20.0) + F.col("l_linenumber") * 3)
+    kind = F.when(F.col("l_partkey") % 2 == 0, "signature").otherwise("logo")
+    category = ocr.deficit_category(F.when(F.col("l_partkey") % 3 == 0, "text_anomaly").otherwise(kind), F.col("l_tax") / 5, F.col("l_discount") / 5, F.col("l_quantity") * 70, F.lit(3508), F.col("l_quantity") * 2)
+    return li.select("l_orderkey", "l_linenumber", ocr.is_artefact(kind, F.col("l_discount"), box, F.lit(2480.0), F.lit(3508.0)).alias("artefact"), category.alias("category"))
+
+
+def cancelled_actions(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("review_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "revert").otherwise(F.col("event_type")).alias("action"))
+    return review.cancelled_actions(e).groupBy("action", "is_cancelled").agg(F.count("*").alias("n"))
+
+
+def current_reviews(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("review_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "revert").otherwise(F.col("event_type")).alias("action"))
+    return review.current_reviews(e)
+
+
 def search_router(spark, d):
     return search.search(table(spark, d, "documents"), "with their", size=25).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (facet_terms, facet_union, value_counts_share, fill_rates, accuracy_summary, accuracy_tiers, accuracy_by_group, gain_impact, bottom10, loss_reason_rollup, weighted_doc_accuracy, approval_status, feedback_weights, review_queue_page, size_labels, snippets, page_boxes, bloom_sizing, allowed_registry, phrase_search, minimum_should_match, bm25_topk, dis_max_rank, decay_rank, fuzzy_terms, synonym_counts, name_prefixes, analyzer_stem_tokens, cosine_matches, vector_norms, search_router)}
+QUERIES = {f.__name__: f for f in (facet_terms, facet_union, value_counts_share, fill_rates, accuracy_summary, accuracy_tiers, accuracy_by_group, gain_impact, bottom10, loss_reason_rollup, weighted_doc_accuracy, approval_status, feedback_weights, review_queue_page, size_labels, snippets, page_boxes, bloom_sizing, allowed_registry, phrase_search, minimum_should_match, bm25_topk, dis_max_rank, decay_rank, fuzzy_terms, synonym_counts, name_prefixes, analyzer_stem_tokens, cosine_matches, vector_norms, tier_scores, highlights, best_attempts, joined_pages, snippet_policy, snippet_artefacts, cancelled_actions, current_reviews, search_router)}
 
 _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _P = "(select conv_id as doc_id, turn as page, (length(text) % 40 + 60)::double as base, (length(text) % 100)::double as weight from conversations)"
@@ -219,4 +262,11 @@ SQL = {
     "cosine_matches": "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), s as (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(q.v, e.v) as c from e, e q where q.vec_id % 20 = 0 and q.vec_id <> e.vec_id), r as (select *, row_number() over (partition by query_id order by c desc, vec_id) as k from s) select query_id, vec_id from r where k <= 5",
     "vector_norms": "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 4) as norm from embeddings",
     "search_router": f"select doc_id from ({_bm25_sql(('with', 'their'))}) x where matched >= 1 order by score desc, doc_id limit 25",
+    "highlights": "select doc_id, sha256(regexp_replace(text, '(?i)(with|und)', '<mark>\\1</mark>', 'g')) as marked_hash from documents",
+    "best_attempts": "select conv_id, attempt, confidence, valid from (select *, row_number() over (partition by conv_id order by valid desc, case when valid then 0 else confidence end desc, attempt) as k from (select conv_id, turn::int as attempt, (length(text) % 97)::double as confidence, length(text) % 5 = 0 as valid, text from conversations) x where valid or length(trim(text)) > 0) y where k = 1",
+    "joined_pages": "select conv_id, string_agg('--- Page ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) order by turn) as text, avg(length(text) % 97)::double as confidence from conversations where turn <= 3 and length(trim(text)) > 0 group by 1",
+    "snippet_policy": "with s as (select l_orderkey as doc_id, l_suppkey as page, l_linenumber as snippet_id, ['signature', 'logo', 'stamp'][l_partkey % 3 + 1] as type, l_discount as impact from lineitem where l_partkey % 3 < 2), f as (select *, impact >= case type when 'signature' then 0.05::double else 0.02::double end as fits from s), r as (select *, row_number() over (partition by doc_id, page, type order by fits desc, impact desc, snippet_id) as k, bool_or(fits) over (partition by doc_id, page) as a from f) select doc_id, page, snippet_id, type, impact from r where case when a then fits and (type <> 'logo' or k <= 1) else k = 1 end",
+    "snippet_artefacts": "with x as (select *, least(10 + l_quantity * 47, 2480) - 10 as w, l_linenumber * 3.0::double as h, case when l_partkey % 2 = 0 then 'signature' else 'logo' end as kind from lineitem), y as (select *, case when l_partkey % 3 = 0 then 'text_anomaly' else kind end as k2, case when l_quantity * 70 > 3508 * 0.4::double then 'signature' else 'handwritten' end as place from x) select l_orderkey, l_linenumber, kind = 'signature' and (l_discount <= 0.03::double or h / 3508 < 0.002::double or w / 2480 > 0.95::double or w / h > 40 or h < 4 or w < 4 or w * h < 16) as artefact, case when l_tax / 5 > 0.01::double then 'stamp' when l_discount / 5 > 0.005::double and l_discount / 5 < 0.4::double then place when k2 = 'signature' then place when k2 = 'text_anomaly' then case when l_quantity * 2 >= 70 then 'text_anomaly' when l_quantity * 2 < 30 then 'faded_text' else k2 end else k2 end as category from y",
+    "cancelled_actions": "with e as (select user_id as r, event_id as seq, case when event_type = 'error' then 'revert' else event_type end as action from events), l as (select r, max(seq) as m from e where action = 'revert' group by 1) select action, coalesce(seq < m and action <> 'revert', false) as is_cancelled, count(*) as n from e left join l using (r) group by all",
+    "current_reviews": "select user_id as review_id, case when arg_max(event_type, event_id) = 'error' then 'pending' else arg_max(event_type, event_id) end as status from events group by 1",
 }

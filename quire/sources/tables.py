@@ -92,3 +92,35 @@ def write_checkpoint(stats: dict, folder: str, name: str, keep: int = 10) -> str
 def load_checkpoint(folder: str) -> dict | None:
     newest = sorted(p for p in Path(folder).glob("checkpoint_*.json") if re.search(r"checkpoint_.+\.json$", p.name))
     return json.loads(newest[-1].read_text()) if newest else None
+
+
+def read_workbook(spark: SparkSession, path: str, anchors: tuple[str, ...] = (), look: int = 12) -> dict[str, DataFrame]:
+    """Sheets of a small workbook (or one CSV) as string tables.  The header is the row of the first `look` with the most
+    filled cells plus six for each anchor word; repeated names get numbers; empty rows go.  Read on the driver: workbooks
+    are small by nature."""
+    import pandas as pd
+
+    if path.endswith(".csv"):
+        raw = {Path(path).stem: pd.read_csv(path, header=None, dtype=str)}
+    else:
+        raw = pd.read_excel(path, sheet_name=None, header=None, dtype=str)
+    out = {}
+    for name, sheet in raw.items():
+        sheet = sheet.dropna(how="all").reset_index(drop=True)
+        if sheet.empty:
+            continue
+        points = [sum(1 for v in r if isinstance(v, str) and v.strip()) + 6 * sum(a in str(v).strip().lower() for v in r for a in anchors) for r in sheet.head(look).itertuples(index=False)]
+        at = points.index(max(points))
+        names: list[str] = []
+        for i, v in enumerate(sheet.iloc[at]):
+            n = str(v).strip() if isinstance(v, str) and v.strip() else f"column_{i}"
+            names.append(n if n not in names else f"{n}_{sum(x == n or x.startswith(n + '_') for x in names) + 1}")
+        body = sheet.iloc[at + 1 :].astype(object).where(sheet.iloc[at + 1 :].notna(), None)
+        out[name] = spark.createDataFrame([tuple(r) for r in body.itertuples(index=False)], ", ".join(f"`{n}` string" for n in names))
+    return out
+
+
+def export_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
+    """Each sheet as CSV with a header, written by the tasks."""
+    for name, df in sheets.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")

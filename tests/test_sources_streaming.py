@@ -54,3 +54,19 @@ def test_breaker_opens(spark, tmp_path):
 def test_first_seen(spark, sf_dir):
     out = jobs.run_once(jobs.first_seen(jobs.event_stream(spark, sf_dir), "event_id"), "quire_first_seen", "append")
     assert out.count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").distinct().count()
+
+
+def test_workbook_header_promotion(spark, tmp_path):
+    (tmp_path / "sheet.csv").write_text("title,,\n,,\nName,Department,Name\na,x,1\n,,\nb,y,2\n")
+    sheets = tables.read_workbook(spark, str(tmp_path / "sheet.csv"), anchors=("name", "department"))
+    assert sheets["sheet"].columns == ["Name", "Department", "Name_2"] and sheets["sheet"].count() == 2
+    tables.export_sheets(sheets, str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/sheet")).count() == 2
+
+
+def test_siblings_take_the_most_similar_label(spark):
+    from quire.operators import review
+
+    reviews = spark.createDataFrame([(1, 1, "logo", "accepted"), (2, 1, "stamp", "accepted"), (3, 1, "logo", "pending"), (4, 2, "logo", "pending"), (5, 1, "text", "pending")], "review_id long, doc_id long, snippet_type string, status string")
+    similarity = spark.createDataFrame([(1, 3, 0.91), (2, 3, 0.95), (1, 4, 0.99), (1, 5, 0.99), (2, 3, 0.2)], "a long, b long, s double")
+    assert [tuple(r) for r in review.auto_tag_siblings(reviews, similarity).collect()] == [(3, "stamp")]
