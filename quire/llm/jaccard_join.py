@@ -390,6 +390,7 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), doc_i
     more = materialise(_verify(_short_pairs(prefixes, labels, p, parts), prefixes, p), "links")
     labels = connected_components(links.unionAll(more))
     found = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    found = materialise(found, "components")  # so that the join below has plain exchanges, which AQE splits where one class has very many copies
     docs_of = table.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("key"))
     some, none = docs_of.where("n_shingles > 0"), docs_of.where("n_shingles = 0")
     out = some.join(found, "key").select("doc_id", "n_shingles", "component_id")
