@@ -95,3 +95,25 @@ def bloom_size(n: Column, p: Column) -> Column:
 
 def bloom_fpr(k: Column, n: Column, m: Column) -> Column:
     return F.pow(1 - F.exp(-k * n / m), k)
+
+
+def enhancement_mode(brightness: Column, contrast: Column, sharpness: Column, quality: Column | None = None) -> Column:
+    """How strongly an image is to be enhanced: by the quality score if there is one, else by what was measured."""
+    measured = (
+        F.when(contrast < 25, "EXTREME_RESTORE").when(contrast < 40, "AGGRESSIVE").when(sharpness < 80, "AGGRESSIVE").when(sharpness < 150, "BALANCED")
+        .when((brightness < 60) | (brightness > 200), "AGGRESSIVE").when((brightness < 100) | (brightness > 160), "BALANCED").otherwise("LIGHT")
+    )
+    if quality is None:
+        return measured
+    scored = F.when(quality < 0.3, "EXTREME_RESTORE").when(quality < 0.5, "AGGRESSIVE").when(quality < 0.7, "BALANCED").otherwise("LIGHT")
+    return F.when(quality.isNotNull(), scored).otherwise(measured)
+
+
+def gamma(brightness: Column) -> Column:
+    return F.when(brightness < 80, 0.85).when(brightness > 180, 1.15).otherwise(1.0)
+
+
+def shares(parts: dict[str, Column], rest: str = "whitespace") -> Column:
+    """Percentages scaled to 100; a page without any is all `rest`."""
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in parts.values()), F.lit(0.0))
+    return F.struct(*[F.when(total > 0, F.coalesce(v, F.lit(0.0)) * 100 / total).otherwise(100.0 if k == rest else 0.0).alias(k) for k, v in parts.items()])

@@ -143,3 +143,48 @@ def match_score(doc: dict[str, Column], row: dict[str, Column]) -> Column:
 
 
 __all__ = ["allowed_value", "best_label", "constrain", "contains_phrase", "countries", "decide", "field_scores", "match_score", "tag", "votes"]
+
+
+def provenance(sources: Column) -> Column:
+    """One word for the constraint sources of all fields: no_match or forced if any was forced, else pass, else none."""
+    has = lambda s: F.array_contains(sources, s)
+    return F.when(has("forced"), F.when(has("no_match"), "no_match").otherwise("forced")).when(has("pass"), "pass").otherwise("none")
+
+
+def subtags(text: Column, limit: int = 15) -> Column:
+    """Taxonomy aliases and keywords of three letters or more that the text holds, sorted, at most `limit`."""
+    words = sorted({w for _, label, aliases, keywords, _ in V.TAXONOMY for w in (label.lower(), *aliases, *keywords) if len(w) >= 3})
+    plain = norm(F.translate(F.coalesce(text, F.lit("")), "_\\/", "   "))
+    return let(plain, lambda t: F.slice(F.filter(F.array(*[F.when(holds(t, w), w) for w in words]), lambda w: w.isNotNull()), F.lit(1), F.lit(limit)))
+
+
+def too_little(contents: list[Column], has_metadata: Column, least: int = 50) -> Column:
+    """Whether a document has too little content to be classified without metadata."""
+    total = F.lit(0)
+    for c in contents:
+        total = total + F.length(F.trim(F.coalesce(c, F.lit(""))))
+    return (total < least) & ~F.coalesce(has_metadata, F.lit(False))
+
+
+def registry_casing(rows: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
+    """rows with the comma-separated values of `column` in the registry's casing; values it doesn't know go.  allowed(value)
+    is a small registry, gathered to one row and broadcast."""
+    table = allowed.select(F.struct(norm(F.col("value")).alias("k"), F.col("value").alias("v")).alias("e")).agg(F.map_from_entries(F.array_sort(F.collect_set("e"))).alias("__m"))
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), ","), lambda p: F.element_at(F.col("__m"), norm(p))), lambda v: v.isNotNull())
+    return rows.crossJoin(F.broadcast(table)).withColumn(column, F.array_join(parts, ", ")).drop("__m")
+
+
+def sub_units(text: Column, units: list[str], scope: dict[str, tuple[str, ...]], parent: Column) -> Column:
+    """The first unit of the parent's scope whose last name part the text holds, else the scope's `Multiple` unit, else its first."""
+
+    def run(t: Column) -> Column:
+        out = F.lit("")
+        for p, marks in reversed(scope.items()):
+            own = [u for u in units if any(m in u.lower() for m in marks)] or units
+            first = F.lit(next((u for u in own if "multiple" in u.lower()), own[0] if own else ""))
+            for u in reversed(own):
+                first = F.when(holds(t, u.rsplit("-", 1)[-1].strip()), u).otherwise(first)
+            out = F.when(parent == p, first).otherwise(out)
+        return out
+
+    return let(norm(text), run)

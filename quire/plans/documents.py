@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import accuracy as A
+from quire.functions import entities
 from quire.functions import text as T
 from quire.functions import values as V
 from quire.operators import dedup, tagging
@@ -219,7 +220,43 @@ def metadata_row_match(spark, d):
     return pairs.select("doc_id", F.col("b.points").cast("long").alias("points"), (-F.col("b.r")).cast("long").alias("row"))
 
 
-QUERIES = {f.__name__: f for f in (dedup_content_hash, dedup_file_hash_registry, duplicates_by_source, size_category_rollup, truncate_content, token_stats, ocr_corrections, ocr_correction_counts, html_accuracy, text_accuracy, url_paths, ocr_routing, confidentiality, record_type_votes, country_votes, taxonomy_labels, money_and_dates, smart_ids, allowed_values, metadata_row_match)}
+GARBAGE = ("A", "GL", "CCAC8CFC6P", "74,564,570", "1.3E11", "A1:D10", "x=12345", "Total Amount", "ONE TWO THREE", "www.site.com page", "c:\\users\\x", "Jane Doe", "Société Générale", "12ab34567890", "report.pdf file")
+
+
+def entity_cleanup(spark, d):
+    value = F.element_at(F.array(*[F.lit(g) for g in GARBAGE]), (F.col("doc_id") % len(GARBAGE) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", value.alias("entity"), entities.is_garbage(value).alias("garbage"))
+
+
+def entity_lists(spark, d):
+    t = F.concat(F.lit("Jane Doe met JANE DOE and Jane  Doe at Société Générale for USD 5 or $7. "), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(entities.proper_names(t, 3), "|").alias("names"), entities.first_money(t).alias("amount"))
+
+
+def tag_details(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", _hinted().alias("t"), "text", F.when(F.col("doc_id") % 4 == 0, "forced").when(F.col("doc_id") % 4 == 1, "pass").otherwise("no_match").alias("a"), F.when(F.col("doc_id") % 3 == 0, "no_match").otherwise("x").alias("b"))
+    return rows.select("doc_id", F.array_join(tagging.subtags(F.col("t")), ",").alias("subtags"), tagging.provenance(F.array("a", "b")).alias("provenance"), tagging.too_little([F.col("text")], F.col("doc_id") % 2 == 0).alias("too_little"))
+
+
+def registry_casing(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.concat_ws(" , ", F.lower("p_type"), F.lit("unknown"), F.upper("p_brand")).alias("labels"))
+    allowed = table(spark, d, "part").select(F.col("p_type").alias("value")).unionByName(table(spark, d, "part").select(F.col("p_brand").alias("value"))).distinct()
+    return tagging.registry_casing(rows, "labels", allowed)
+
+
+def enhancement(spark, d):
+    li = table(spark, d, "lineitem")
+    b, c, s = F.col("l_quantity") * 5, F.col("l_quantity") + F.col("l_linenumber") * 5, F.col("l_partkey") % 300
+    return li.select("l_orderkey", "l_linenumber", A.enhancement_mode(b, c, s, F.when(F.col("l_linenumber") == 1, F.col("l_discount") * 10)).alias("mode"), A.gamma(b).alias("gamma"))
+
+
+def page_shares(spark, d):
+    li = table(spark, d, "lineitem")
+    x = A.shares({"clean": F.when(F.col("l_linenumber") > 1, F.col("l_quantity")), "noise": F.when(F.col("l_linenumber") > 2, F.col("l_discount") * 100), "whitespace": F.lit(None).cast("double")})
+    return li.select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+
+
+QUERIES = {f.__name__: f for f in (dedup_content_hash, dedup_file_hash_registry, duplicates_by_source, size_category_rollup, truncate_content, token_stats, ocr_corrections, ocr_correction_counts, html_accuracy, text_accuracy, url_paths, ocr_routing, confidentiality, record_type_votes, country_votes, taxonomy_labels, money_and_dates, smart_ids, allowed_values, metadata_row_match, entity_cleanup, entity_lists, tag_details, registry_casing, enhancement, page_shares)}
 
 _DUP = f"select doc_id, source, {HASH} as content_hash from documents"
 SQL = {
@@ -247,3 +284,18 @@ b as (select *, row_number() over (partition by doc_id order by points desc, row
 select doc_id, points::bigint as points, row::bigint as row from b where k = 1""",
 }
 SQL["ocr_corrections"] = f"select doc_id, sha256({_sql_rules()}) as corrected_hash from documents"
+
+
+def _subtags_sql() -> str:
+    words = sorted({w for _, label, aliases, keywords, _ in V.TAXONOMY for w in (label.lower(), *aliases, *keywords) if len(w) >= 3})
+    return "[" + ", ".join(f"case when regexp_matches(t, '{T.phrase_pattern(w)}') then '{w}' end" for w in words) + "]"
+
+
+_GARBAGE_FLAGS = (True, True, True, True, True, True, True, True, True, True, True, False, False, True, True)
+SQL["entity_cleanup"] = "select doc_id, [" + ", ".join(f"'{g}'" for g in GARBAGE) + f"][doc_id % {len(GARBAGE)} + 1] as entity, [" + ", ".join(str(x).lower() for x in _GARBAGE_FLAGS) + f"][doc_id % {len(GARBAGE)} + 1] as garbage from documents"
+SQL["tag_details"] = f"""select doc_id, array_to_string(list_filter({_subtags_sql()}, lambda x: x is not null)[1:15], ',') as subtags,
+ case when doc_id % 4 = 0 then case when doc_id % 3 = 0 then 'no_match' else 'forced' end when doc_id % 4 = 1 then 'pass' else 'none' end as provenance, length(trim(text)) < 50 and doc_id % 2 <> 0 as too_little
+ from (select doc_id, text, trim(regexp_replace(lower(translate({_HINT_SQL}, '_\\/', '   ')), {_SPACES})) as t from documents) x"""
+SQL["registry_casing"] = "select p_partkey, p_type || ', ' || p_brand as labels from part"
+SQL["enhancement"] = "with x as (select l_orderkey, l_linenumber, l_quantity * 5 as b, l_quantity + l_linenumber * 5 as c, l_partkey % 300 as s, case when l_linenumber = 1 then l_discount * 10 end as q from lineitem) select l_orderkey, l_linenumber, case when q is not null then case when q < 0.3::double then 'EXTREME_RESTORE' when q < 0.5::double then 'AGGRESSIVE' when q < 0.7::double then 'BALANCED' else 'LIGHT' end when c < 25 then 'EXTREME_RESTORE' when c < 40 or s < 80 then 'AGGRESSIVE' when s < 150 then 'BALANCED' when b < 60 or b > 200 then 'AGGRESSIVE' when b < 100 or b > 160 then 'BALANCED' else 'LIGHT' end as mode, case when b < 80 then 0.85 when b > 180 then 1.15 else 1.0 end::double as gamma from x"
+SQL["page_shares"] = "with x as (select l_orderkey, l_linenumber, case when l_linenumber > 1 then l_quantity else 0 end::double as c, case when l_linenumber > 2 then l_discount * 100 else 0 end::double as n from lineitem) select l_orderkey, l_linenumber, case when c + n > 0 then c * 100 / (c + n) else 0 end as clean, case when c + n > 0 then n * 100 / (c + n) else 0 end as noise, case when c + n > 0 then 0 else 100 end::double as whitespace from x"
