@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +22,17 @@ def local_session(app: str = "quire", cpus: str | int = 8, **extra: str) -> Spar
         "spark.driver.host": "127.0.0.1",
     } | {k.replace("__", "."): v for k, v in extra.items()}
     return SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once per session, so that they need no installation or shared path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quire-")) / "quire.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(str(target))
+    sc._quire_shipped = True
