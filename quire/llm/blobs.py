@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import pieces_of
+
 
 def _murmur3(x: np.ndarray) -> np.ndarray:
     """Spark's hash() of an int column (Murmur3, 32 bits, seed 42)."""
@@ -68,7 +70,7 @@ def deal(df: DataFrame, n: int, dtypes: list[type], emit: Callable[[pa.RecordBat
     """Packed rows of what emit gives for each batch of df (partition numbers and columns), dealt to n partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces_of(batches, 2048):
             for part, columns in emit(b):
                 out = packed(n, part, [c.astype(t, copy=False) for c, t in zip(columns, dtypes, strict=True)])
                 if out is not None:

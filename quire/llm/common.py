@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -61,6 +62,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of few rows, so that only a few texts are Python objects at a time; what was freed goes back to the
+    system after each batch, so that a worker's memory doesn't grow from stage to stage."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of a text as UTF-8; none for null. bytes.split() cuts at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

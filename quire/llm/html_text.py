@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise
+from quire.llm.common import materialise, pieces_of
 from quire.llm.url_filter import host_of
 
 
@@ -262,7 +262,7 @@ def main_text(pages: DataFrame, params: TreeParams = TreeParams(), keep: tuple[s
     kind = rows.schema["keep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces_of(batches):
             out = []
             for gone, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 low = {g & 0xFFFFFFFFFFFFFFFF for g in gone or ()}

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import blobs
-from quire.llm.common import free_shuffles, materialise, partitions, shingle_hashes, without_ids, word_hashes
+from quire.llm.common import free_shuffles, materialise, partitions, pieces_of, shingle_hashes, without_ids, word_hashes
 from quire.llm.components import connected_components
 
 U, I = np.uint64, np.int64
@@ -48,8 +48,8 @@ class JoinParams:
     matches_percent: int = 15  # m of the first filter, in percent of the set
     most_matches: int = 8  # largest m that a class may choose in the join
     long_list: int = 16  # members up to which a posting list is spelt out as pairs
-    queries_per_block: int = 256
-    members_per_block: int = 1024
+    queries_per_block: int = 128
+    members_per_block: int = 512
     broadcast_rows: int = 100_000  # ids up to which the survivors' ids are broadcast; beyond that, a shuffle join
 
 
@@ -88,9 +88,8 @@ def _filter_all(docs: DataFrame, p: JoinParams, parts: int) -> DataFrame:
 
     def emit(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(I)
-        texts = b.column(1).to_pylist()
-        for s in range(0, len(texts), 2048):
-            sets, n, keys = _sets(texts[s : s + 2048], p.size)
+        for s in range(0, b.num_rows, 2048):
+            sets, n, keys = _sets(b.column(1).slice(s, 2048).to_pylist(), p.size)
             own = ids[s : s + 2048]
             # the class of each document, as a posting of kind 0 (column 3)
             yield (keys % U(parts)).astype(I), [own.view(U), n.view(U), keys, np.zeros(len(keys), np.uint8)]
@@ -138,12 +137,9 @@ def _tokens_of(docs: DataFrame, left: DataFrame, p: JoinParams, parts: int) -> D
     chosen = docs.join(F.broadcast(reps) if small else reps, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for s in range(0, len(texts), 2048):
-                sets, n, _ = _sets(texts[s : s + 2048], p.size)
-                ids = b.column(0).slice(s, 2048)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), blobs.lists(np.concatenate(sets), n)], ["node", "n", "tokens"])
+        for b in pieces_of(batches):
+            sets, n, _ = _sets(b.column(1).to_pylist(), p.size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), blobs.lists(np.concatenate(sets), n)], ["node", "n", "tokens"])
 
     return materialise(chosen.mapInArrow(run, "node long, n long, tokens binary").where("n > 0"), "tokens")
 

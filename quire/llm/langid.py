@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import pieces_of
+
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -218,7 +220,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces_of(batches):
             langs, scores = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], [doc_id, "lang_pred", "score"])
 

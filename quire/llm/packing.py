@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import pieces_of
+
 
 @dataclass(frozen=True)
 class PackParams:
@@ -81,7 +83,7 @@ def pieces(docs: DataFrame, params: PackParams = PackParams(), doc_id: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(p.tokenizer)
-        for b in batches:
+        for b in pieces_of(batches):
             row, start, length, crc, total = [], [], [], [], []
             for r, t in enumerate(b.column(1).to_pylist()):
                 ids = np.array([*(encode(t) if t else ()), p.end_id], "<u4")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quire.llm.common import words_of
+from quire.llm.common import pieces_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
@@ -163,7 +163,7 @@ def quality_report(docs: DataFrame, params: QualityParams = QualityParams(), doc
     result; other columns don't matter.  The figures are exact for texts of any length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces_of(batches):
             f = _figures(b.column(1), params)
             base, kept = verdicts(f, params)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(7)), pa.array(base), pa.array(kept)], [doc_id, *COLUMNS, "base_failed", "kept"])
@@ -177,7 +177,7 @@ def quality_filter(docs: DataFrame, params: QualityParams = QualityParams(), tex
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces_of(batches):
             yield b.filter(pa.array(verdicts(_figures(b.column(at), params), params)[1]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import blobs
-from quire.llm.common import mix, partitions, word_hashes
+from quire.llm.common import mix, partitions, pieces_of, word_hashes
 
 U, I = np.uint64, np.int64
 _WORDS = re.compile(r"\S+")
@@ -85,9 +85,8 @@ def _removals(docs: DataFrame, p: SpanParams, parts: int) -> DataFrame:
 
     def emit(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(I)
-        texts = b.column(1).to_pylist()
-        for at in range(0, len(texts), 4096):
-            found = [runs(t, p) for t in texts[at : at + 4096]]
+        for at in range(0, b.num_rows, 4096):
+            found = [runs(t, p) for t in b.column(1).slice(at, 4096).to_pylist()]
             counts = [len(f[0]) for f in found]
             h, s, n = (np.concatenate([f[i] for f in found]) for i in range(3))
             doc = np.repeat(ids[at : at + 4096], counts)
@@ -155,7 +154,7 @@ def dedup_spans(docs: DataFrame, params: SpanParams = SpanParams(), doc_id: str
     kind = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces_of(batches):
             texts, removed = b.column(at).to_pylist(), np.zeros(b.num_rows, I)
             for i, packs in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 if packs and texts[i] is not None:
