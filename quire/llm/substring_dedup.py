@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 Method.  A text is cut into sentences: a sentence begins after a word that ends in . ! or ?, and at a word with a capital
-letter (so a passage set into the middle of another sentence still begins one).  From each sentence on, the shortest run of
-at least `min_sentences` sentences and `min_words` words, or of `enough_words` words, is hashed over its lower-cased words.
-What ends a run depends on its words alone, so a passage gives the same runs wherever it stands.  Runs are joined over the
+letter (so a passage set into the middle of another sentence still begins one).  From each sentence on (and, with
+`both_ends`, back from each sentence's end), the shortest run of at least `min_sentences` sentences and `min_words` words, or of `enough_words` words, is
+hashed over its lower-cased words.  What bounds a run depends on its words alone, so a passage gives the same runs wherever
+it stands; the runs from both ends cover every passage of whole sentences that is long enough for one.  Runs are joined over the
 whole corpus by hash; the first occurrence, by document id and place, stays, and the words of all sentences that any other
 occurrence of a repeated run covers are removed.
 
@@ -34,6 +35,10 @@ class SpanParams:
     min_sentences: int = 2
     min_words: int = 20
     enough_words: int = 40
+    both_ends: bool = False  # also the shortest run that ends at each sentence's end, not only the one that begins there
+
+
+BOTH_ENDS = SpanParams(both_ends=True)
 
 
 class _Powers:
@@ -74,6 +79,13 @@ def runs(text: str | None, p: SpanParams) -> tuple[np.ndarray, np.ndarray, np.nd
     last = np.minimum(np.maximum(i + p.min_sentences, np.searchsorted(edges, first + p.min_words)), np.searchsorted(edges, first + p.enough_words))
     ok = last < len(edges)
     s, e = first[ok], edges[last[ok]]
+    if p.both_ends:
+        end = i + 1
+        before = lambda words: np.searchsorted(edges, edges[end] - words, "right") - 1
+        back = np.maximum(np.minimum(end - p.min_sentences, before(p.min_words)), before(p.enough_words))
+        new = back >= 0
+        new[new] = last[back[new]] != end[new]  # the others are runs from their start on, too
+        s, e = np.append(s, first[back[new]]), np.append(e, edges[end[new]])
     up, down = _powers.get(n + 1)
     h = np.append(U(0), np.cumsum(word_hashes(text.lower().split()) * up[:n]))
     return mix((h[e] - h[s]) * down[s] + (e - s).astype(U)), s, e - s
@@ -138,7 +150,7 @@ def cut(text: str, spans: np.ndarray) -> tuple[str, int]:
     return "".join([*out, text[at:]]), int(gone.sum())
 
 
-def dedup_spans(docs: DataFrame, params: SpanParams = SpanParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_spans(docs: DataFrame, params: SpanParams = BOTH_ENDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with all their columns and rows, repeated passages removed from text, and the count of removed words (last column,
     `n_removed`).
 
