@@ -186,7 +186,7 @@ def best_attempts(spark, d):
 
 def joined_pages(spark, d):
     c = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("page"), "text", (F.length("text") % 97).cast("double").alias("confidence"))
-    return ocr.join_pages(c, "conv_id", 3)
+    return ocr.join_pages(c, "conv_id")
 
 
 def snippet_policy(spark, d):
