@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -34,12 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The table is removed when the driver's Python ends, as results read from it lazily."""
+    What a result reads lazily goes when the driver's Python ends; what is done with before goes by drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _paths[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+_paths: dict[str, SparkSession] = {}
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_quire_path", None)
+        if path in _paths:
+            _remove(_paths.pop(path), path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in _paths.items():
+        _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -48,7 +70,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         if sc._jsc is not None and not sc._jsc.sc().isStopped():
             p = sc._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone; whoever owns the folder clears it
+    except Py4JError:  # the session is gone; whoever owns the folder clears it
         pass
 
 
@@ -62,6 +84,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores: dealt anew only where the scan has fewer splits than there are cores, as with a table of
+    one row group; a table of any size beyond that is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches in pieces of few rows, so that only a few texts are Python objects at a time; what was freed goes back to the
     system after each batch, so that a worker's memory doesn't grow from stage to stage."""
