@@ -26,22 +26,25 @@ def render(turns: Column, p: ChatParams) -> Column:
 
 
 def mask(turns: Column, p: ChatParams) -> Column:
-    """(start, length) in characters of the trained parts of render(turns)."""
+    """(start, length) in characters of the trained parts of render(turns); one pass over the turns."""
     fixed = len(p.start) + 1
     size = lambda t: F.length(t["role"]) + F.length(t["text"]) + fixed + len(p.end)
+    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: long, length: long>>)").alias("parts"))
 
-    def part(t: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(turns, F.lit(1), i), F.lit(0), lambda acc, x: acc + size(x))
-        return F.when(t["role"] == p.trained_role, F.struct((before + F.length(t["role"]) + fixed).cast("long").alias("start"), (F.length(t["text"]) + len(p.end)).cast("long").alias("length")))
+    def step(acc: Column, t: Column) -> Column:
+        part = F.struct((acc["at"] + F.length(t["role"]) + fixed).cast("long").alias("start"), (F.length(t["text"]) + len(p.end)).cast("long").alias("length"))
+        parts = F.when(t["role"] == p.trained_role, F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"])
+        return F.struct((acc["at"] + size(t)).alias("at"), parts.alias("parts"))
 
-    return F.filter(F.transform(turns, part), lambda x: x.isNotNull())
+    return F.aggregate(turns, none, step, lambda acc: acc["parts"])
 
 
 def common_turns(a: Column, b: Column) -> Column:
     """How many first turns are the same in both."""
     n = F.least(F.size(a), F.size(b))
-    differ = F.filter(F.transform(F.sequence(F.lit(0), n), lambda i: F.when((i >= n) | ~F.get(a, i).eqNullSafe(F.get(b, i)), i)), lambda i: i.isNotNull())
-    return F.array_min(differ)
+    pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x.eqNullSafe(y))
+    differ = F.array_position(pairs, F.lit(False)).cast("int")
+    return F.when(differ > 0, differ - 1).otherwise(n)
 
 
 def preference_pairs(turns: DataFrame, params: ChatParams = ChatParams()) -> DataFrame:
@@ -50,7 +53,8 @@ def preference_pairs(turns: DataFrame, params: ChatParams = ChatParams()) -> Dat
 
     Null roles and texts count as empty; repeated rows count once; of turns with the same number, ties go by role and
     text; a side without turns is an empty conversation, so its pair has an empty prompt and an empty completion; rows
-    without a pair id are left out; an empty table gives an empty result; other columns don't matter."""
+    without a pair id are left out; very long texts and conversations are rendered whole; an empty table gives an empty
+    result; other columns don't matter."""
     p = params
     rows = turns.where("pair_id is not null").select("pair_id", "side", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     of = lambda side: F.transform(F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("t")))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
@@ -64,12 +68,28 @@ def preference_pairs(turns: DataFrame, params: ChatParams = ChatParams()) -> Dat
     )
 
 
+def alternatives(conversations: DataFrame, role: str = "assistant") -> DataFrame:
+    """turns(pair_id, side, turn, role, text): each conversation up to its last answer of `role` is chosen, and the same turns
+    with the answer before that in its place are rejected (no turn in its place if there is none before).
+
+    pair_id is conv_id.  Of turns with one number the least (role, text) counts; rows without conversation or turn and
+    conversations without an answer give nothing."""
+    rows = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("t"))
+    whole = rows.groupBy(F.col("conv_id").alias("pair_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "t.role", "t.text"))).alias("all"))
+    whole = whole.withColumn("answers", F.filter("all", lambda t: t["role"] == role)).where(F.size("answers") > 0)
+    last, before = F.element_at("answers", -1), F.get("answers", F.size("answers") - 2)
+    mine = lambda side, t, says: F.struct(F.lit(side).alias("side"), t["turn"].alias("turn"), says["role"].alias("role"), says["text"].alias("text"))
+    chosen = F.transform(F.filter("all", lambda t: t["turn"] <= last["turn"]), lambda t: mine("chosen", t, t))
+    common = F.transform(F.filter("all", lambda t: t["turn"] < last["turn"]), lambda t: mine("rejected", t, t))
+    other = F.when(before.isNotNull(), F.array(mine("rejected", last, before))).otherwise(F.slice(common, 1, 0))
+    return whole.select("pair_id", F.explode(F.concat(chosen, common, other)).alias("s")).select("pair_id", "s.*")
+
+
 def op6_chat_preference(spark, sf_dir: str) -> DataFrame:
-    """Conversation 2k as chosen and 2k + 1 as rejected, all of them; a conversation without its partner stands alone.
+    """The preference pair that each conversation gives (see alternatives), formatted.
 
     Masks are given as `start:length` lists, as text."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    turns = c.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
+    turns = alternatives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     shown = lambda m: F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["start"].cast("string"), x["length"].cast("string"))), ",").alias(m)
     return preference_pairs(turns).select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", shown("chosen_mask"), shown("rejected_mask"))
 
@@ -89,7 +109,14 @@ def _side(name: str) -> str:
 
 
 SQL = f"""
-with d as (select distinct conv_id // 2 as pair_id, case when conv_id % 2 = 0 then 'chosen' else 'rejected' end as side, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+with one as (select conv_id, turn, role, text from conversations where conv_id is not null and turn is not null
+  qualify row_number() over (partition by conv_id, turn order by role nulls first, text nulls first) = 1),
+answers as (select conv_id, max(turn) as last from one where role = 'assistant' group by conv_id),
+before as (select conv_id, arg_max(text, turn) as text, max(turn) as turn from one join answers using (conv_id) where role = 'assistant' and turn < last group by conv_id),
+both_sides as (select conv_id as pair_id, 'chosen' as side, turn, role, text from one join answers using (conv_id) where turn <= last
+  union all select conv_id, 'rejected', turn, role, text from one join answers using (conv_id) where turn < last
+  union all select b.conv_id, 'rejected', a.last, 'assistant', b.text from before b join answers a using (conv_id)),
+d as (select distinct pair_id, side, turn, coalesce(role, '') as role, coalesce(text, '') as text from both_sides),
 t as (select *, row_number() over (partition by pair_id, side order by turn, role, text) as pos from d),
 sizes as (select pair_id, count(*) filter (where side = 'chosen') as a, count(*) filter (where side = 'rejected') as b from t group by pair_id),
 same as (select c.pair_id, c.pos, c.role = r.role and c.text = r.text as eq from t c join t r on c.pair_id = r.pair_id and c.pos = r.pos and c.side = 'chosen' and r.side = 'rejected'),
