@@ -1,15 +1,20 @@
 """Substring dedup by sliding sentence spans.
 
-Method.  A text is cut into sentences: a sentence begins after a word that ends in . ! or ?, and at a word with a capital
-letter (so a passage set into the middle of another sentence still begins one).  From each sentence on (and, with
-`both_ends`, back from each sentence's end), the shortest run of at least `min_sentences` sentences and `min_words` words, or of `enough_words` words, is
-hashed over its lower-cased words.  What bounds a run depends on its words alone, so a passage gives the same runs wherever
-it stands; the runs from both ends cover every passage of whole sentences that is long enough for one.  Runs are joined over the
-whole corpus by hash; the first occurrence, by document id and place, stays, and the words of all sentences that any other
-occurrence of a repeated run covers are removed.
+Method.  A text is cut into sentences, at the end marks of its script and at blank lines.  From each sentence on, the
+shortest run of at least `min_sentences` sentences and `min_words` words, or of `enough_words` words, is hashed over its
+lower-cased words, and so is the shortest such run back from each sentence's end.  Any longer run of consecutive
+sentences is made of these, so they find and cover just what all runs would.  As passages are also set into the middle of a
+sentence, a run may begin at a capital letter, too, as the rest of a sentence, and end before one; such a place counts for
+no sentence, so names don't make sentences.  What bounds a run depends on its words alone, so a passage gives the same
+runs wherever it stands.  Runs are joined over the whole corpus by hash; the first occurrence, by document id and place,
+stays, and the words of all sentences that any other occurrence of a repeated run covers are removed.
+
+Words are what white space parts; of scripts without spaces each character is a word, and where they have no end marks
+either (Thai, Lao, Khmer, Burmese), a space ends a sentence.
 
 The join deals packed (hash, id, place) values by hash; of a run that very many documents have, only the first occurrence
-in each batch goes to the run's partition.  Texts move once, with the spans to remove."""
+in each batch goes to the run's partition.  The spans to remove are written; while they are few they are broadcast, so that
+texts don't move; beyond that both are joined by id."""
 
 from __future__ import annotations
 
@@ -23,10 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import blobs
-from quire.llm.common import mix, partitions, pieces_of, word_hashes
+from quire.llm.common import materialise, mix, partitions, pieces_of, spread, word_hashes
 
 U, I = np.uint64, np.int64
+#: Characters of scripts that put no space between words, those of them without end marks, and end marks.
+_SPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_DENSE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff" + _SPACED
+_ENDS = ".!?\u2026\u3002\uff01\uff1f\uff61\uff0e\u061f\u06d4\u0964\u0965\u1362\u17d4\u104b"
+_AFTER = "\"')]}\u00bb\u201d\u2019\u300d\u300f\uff09"  # what may stand behind an end mark
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
+_IS_SPACED = re.compile(f"[{_SPACED}]")
 _WORDS = re.compile(r"\S+")
+_DENSE_WORDS = re.compile(rf"[{_DENSE}][{re.escape(_ENDS + _AFTER)}\u3001\uff0c]*|[^\s{_DENSE}]+")
+_BLANK = re.compile(r"\n[^\S\n]*\n")
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 
 
@@ -35,10 +49,7 @@ class SpanParams:
     min_sentences: int = 2
     min_words: int = 20
     enough_words: int = 40
-    both_ends: bool = False  # also the shortest run that ends at each sentence's end, not only the one that begins there
-
-
-BOTH_ENDS = SpanParams(both_ends=True)
+    broadcast_bytes: int = 32 << 20  # of spans up to which they are broadcast
 
 
 class _Powers:
@@ -58,36 +69,61 @@ class _Powers:
 _powers = _Powers()
 
 
-def sentence_starts(words: list[str]) -> np.ndarray:
-    """Word numbers at which sentences begin."""
+def words_in(text: str) -> re.Pattern:
+    return _DENSE_WORDS if _HAS_DENSE.search(text) else _WORDS
+
+
+def edges_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of a text, the word numbers at which a run may begin or end (the last is the number of words), and for each
+    how many sentences have begun by then."""
+    dense = bool(_HAS_DENSE.search(text))
+    words, strong = [], []
+    for part in _BLANK.split(text) if "\n" in text else (text,):
+        strong.append(len(words))
+        if dense:
+            spans = list(_DENSE_WORDS.finditer(part))
+            for m in spans[:-1]:
+                if m.end() < len(part) and part[m.end()].isspace() and _IS_SPACED.match(m[0]):
+                    strong.append(len(words) + 1)
+                words.append(m[0])
+            words += [m[0] for m in spans[-1:]]
+        else:
+            words += part.split()
     n = len(words)
-    starts = np.fromiter((w[0].isupper() for w in words), bool, n)
-    starts[1:] |= np.fromiter((w[-1] in ".!?" for w in words), bool, n)[:-1]
-    starts[:1] = True
-    return np.flatnonzero(starts)
+    begins = np.zeros(n + 1, bool)
+    begins[strong] = True
+    begins[1:] |= np.fromiter((w[-1] in _ENDS or (w[-1] in _AFTER and w.rstrip(_AFTER)[-1:] in _ENDS and len(w) > 1 and w.rstrip(_AFTER) != "") for w in words), bool, n)
+    begins[0] = begins[n] = True
+    may = begins.copy()
+    may[:n] |= np.fromiter((w[0].isupper() for w in words), bool, n)
+    edges = np.flatnonzero(may)
+    return words, edges, np.cumsum(begins)[edges]
 
 
 def runs(text: str | None, p: SpanParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first word and number of words of each run of a text."""
-    words = text.split() if text else []
+    none = np.zeros(0, U), np.zeros(0, I), np.zeros(0, I)
+    if not text:
+        return none
+    words, edges, begun = edges_of(text)
     n = len(words)
     if n < p.min_words:
-        return np.zeros(0, U), np.zeros(0, I), np.zeros(0, I)
-    edges = np.append(sentence_starts(words), n)
-    first = edges[:-1]
-    i = np.arange(len(first))
-    last = np.minimum(np.maximum(i + p.min_sentences, np.searchsorted(edges, first + p.min_words)), np.searchsorted(edges, first + p.enough_words))
-    ok = last < len(edges)
-    s, e = first[ok], edges[last[ok]]
-    if p.both_ends:
-        end = i + 1
-        before = lambda words: np.searchsorted(edges, edges[end] - words, "right") - 1
-        back = np.maximum(np.minimum(end - p.min_sentences, before(p.min_words)), before(p.enough_words))
-        new = back >= 0
-        new[new] = last[back[new]] != end[new]  # the others are runs from their start on, too
-        s, e = np.append(s, first[back[new]]), np.append(e, edges[end[new]])
+        return none
+    # the run between edges i < j spans the sentences begun before j, from the one that i is in or begins
+    m = len(edges)
+    i = np.arange(m)
+    before = np.append(0, begun[1:] - (begun[1:] > begun[:-1]))  # sentences begun before the edge
+    short = np.searchsorted(before, begun + p.min_sentences - 1)
+    last = np.minimum(np.maximum(short, np.searchsorted(edges, edges + p.min_words)), np.searchsorted(edges, edges + p.enough_words))
+    ok = last < m
+    s, e = edges[ok], edges[last[ok]]
+    at = lambda words: np.searchsorted(edges, edges - words, "right") - 1
+    back = np.maximum(np.minimum(np.searchsorted(begun, before - p.min_sentences + 1, "right") - 1, at(p.min_words)), at(p.enough_words))
+    new = back >= 0
+    new[new] = last[back[new]] != i[new]  # the others are runs from their start on, too
+    s, e = np.append(s, edges[back[new]]), np.append(e, edges[i[new]])
     up, down = _powers.get(n + 1)
-    h = np.append(U(0), np.cumsum(word_hashes(text.lower().split()) * up[:n]))
+    h = np.append(U(0), np.cumsum(word_hashes(" ".join(words).lower().encode("utf-8", "surrogatepass").split(b" ")) * up[:n]))
     return mix((h[e] - h[s]) * down[s] + (e - s).astype(U)), s, e - s
 
 
@@ -137,7 +173,7 @@ def _later(h: np.ndarray, doc: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 def cut(text: str, spans: np.ndarray) -> tuple[str, int]:
     """The text without the words of the spans (rows of first word and words), and how many words went."""
-    where = [m.span() for m in _WORDS.finditer(text)]
+    where = [m.span() for m in words_in(text).finditer(text)]
     edge = np.zeros(len(where) + 1, I)
     np.add.at(edge, spans[:, 0], 1)
     np.add.at(edge, spans[:, 0] + spans[:, 1], -1)
@@ -150,18 +186,21 @@ def cut(text: str, spans: np.ndarray) -> tuple[str, int]:
     return "".join([*out, text[at:]]), int(gone.sum())
 
 
-def dedup_spans(docs: DataFrame, params: SpanParams = BOTH_ENDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_spans(docs: DataFrame, params: SpanParams = SpanParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with all their columns and rows, repeated passages removed from text, and the count of removed words (last column,
     `n_removed`).
 
-    Null texts stay null; texts shorter than a run stay as they are; rows without an id keep their text; rows with the same
-    id count as one document, so a repeated row isn't a copy of itself; an empty table gives an empty result.  A column
-    that is called n_removed already is replaced."""
-    parts = partitions(docs.sparkSession)
+    Null and empty texts stay as they are, and so do texts shorter than a run; very long texts are searched whole; rows
+    without an id keep their text; rows with the same id count as one document, so a repeated row isn't a copy of itself;
+    of occurrences in one document the first place counts as the earlier; an empty table gives an empty result.  A column
+    that is called n_removed already is replaced; other columns stay as they are."""
+    parts = partitions(docs)
     rows = docs.drop("n_removed")
     keyed = rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    spans = _removals(keyed, params, parts).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("spans").alias("__spans"))
-    joined = rows.join(spans, rows[doc_id].cast("long") == spans["__id"], "left").drop("__id")
+    spans = _removals(spread(keyed), params, parts).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("spans").alias("__spans"))
+    spans = materialise(spans, "spans")
+    size = spans.agg(F.sum(F.expr("aggregate(__spans, 64L, (a, x) -> a + octet_length(x))"))).first()[0] or 0
+    joined = spread(rows).join(F.broadcast(spans) if size <= params.broadcast_bytes else spans, F.col(doc_id).cast("long") == F.col("__id"), "left").drop("__id")
     at = rows.columns.index(text)
     kind = rows.schema
 

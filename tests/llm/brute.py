@@ -34,22 +34,33 @@ def components(rows, num=3, den=4):
 
 
 def without_spans(rows, p):
-    """{doc_id: (words left, removed)} of (doc_id, text) rows in order of id."""
-    seen, out = set(), {}
+    """{doc_id: (words left, removed)} of (doc_id, text) rows: the shortest run from each edge on and the shortest back from
+    each edge, removed where an earlier place has it.  A sentence begins at the start and after a word that ends in . ! or ?;
+    capitals are edges, too, but begin no sentence.  Texts without blank lines and of scripts with spaces only."""
+    first, found, out = {}, [], {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         w, low = (t or "").split(), (t or "").lower().split()
-        starts = [k for k in range(len(w)) if k == 0 or w[k][0].isupper() or w[k - 1][-1] in ".!?"] + [len(w)]
-        gone = set()
-        for a in range(len(starts) - 1):
-            for b in range(a + 1, len(starts)):
-                n = starts[b] - starts[a]
-                if (b - a >= p.min_sentences and n >= p.min_words) or n >= p.enough_words:
-                    run = tuple(low[starts[a] : starts[b]])
-                    gone |= set(range(starts[a], starts[b])) if run in seen else set()
-                    seen.add(run)
-                    break
-        out[i] = [w[k] for k in range(len(w)) if k not in gone], len(gone)
-    return out
+        begins = lambda k: k == 0 or w[k - 1][-1] in ".!?"  # noqa: B023, E731
+        edges = [k for k in range(len(w)) if begins(k) or w[k][0].isupper()] + [len(w)]
+
+        def fits(a, b):
+            n, sentences = edges[b] - edges[a], 1 + sum(begins(k) for k in range(edges[a] + 1, edges[b]))  # noqa: B023
+            return (sentences >= p.min_sentences and n >= p.min_words) or n >= p.enough_words
+
+        m = len(edges)
+        pairs = {(a, next((b for b in range(a + 1, m) if fits(a, b)), None)) for a in range(m)}
+        pairs |= {(next((a for a in range(b - 1, -1, -1) if fits(a, b)), None), b) for b in range(m)}
+        for a, b in pairs:
+            if a is not None and b is not None:
+                run = tuple(low[edges[a] : edges[b]])
+                first[run] = min(first.get(run, (i, edges[a])), (i, edges[a]))
+                found.append((run, i, edges[a]))
+        out[i] = w
+    gone = {i: set() for i in out}
+    for run, i, s in found:
+        if first[run] != (i, s):
+            gone[i] |= set(range(s, s + len(run)))
+    return {i: ([x for k, x in enumerate(w) if k not in gone[i]], len(gone[i])) for i, w in out.items()}
 
 
 def leaks(docs, items, size=5, similarity=0.75):
