@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise
+from quire.llm.common import drop, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,10 +16,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = materialise(edges.select("a", "b").where("a <> b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("over"))
+        was = labels
         step = materialise(lower.join(jump, "to", "left").select("node", F.least(F.col("to"), F.coalesce("over", "to")).alias("component"), "was"), "labels")
-        labels = step.select("node", "component")
+        drop(was)
+        labels = step
         if step.where("component <> was").isEmpty():
-            return labels
+            drop(both)
+            return step

@@ -24,6 +24,7 @@ and only between different components.  Every pair that may link is either verif
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import blobs
-from quire.llm.common import free_shuffles, materialise, partitions, pieces_of, shingle_hashes, without_ids, word_hashes
+from quire.llm.common import drop, free_shuffles, materialise, mix, partitions, pieces_of, shingle_hashes, spread, without_ids, word_hashes
 from quire.llm.components import connected_components
 
 U, I = np.uint64, np.int64
@@ -91,8 +92,8 @@ def _filter_all(docs: DataFrame, p: JoinParams, parts: int) -> DataFrame:
         for s in range(0, b.num_rows, 2048):
             sets, n, keys = _sets(b.column(1).slice(s, 2048).to_pylist(), p.size)
             own = ids[s : s + 2048]
-            # the class of each document, as a posting of kind 0 (column 3)
-            yield (keys % U(parts)).astype(I), [own.view(U), n.view(U), keys, np.zeros(len(keys), np.uint8)]
+            # the class of each document, as a posting of kind 0 (column 3); dealt by document, so that no class's copies meet
+            yield (mix(own.view(U)) % U(parts)).astype(I), [own.view(U), n.view(U), keys, np.zeros(len(keys), np.uint8)]
             _, first = np.unique(keys, return_index=True)
             m = -(-n * p.matches_percent // 100)
             length = np.minimum(n, n - needed(n, p.threshold) + m)
@@ -300,15 +301,26 @@ def _short_pairs(prefixes: DataFrame, labels: DataFrame, p: JoinParams, parts: i
 
 
 def _block_links(groups: DataFrame, labels: DataFrame, prefixes: DataFrame, p: JoinParams) -> DataFrame:
-    """a, b: for each member outside its group's largest component, a link to each other component that it has one to."""
+    """a, b: for each member outside its group's largest component, a link to each other component that it has one to.
+
+    Members are cut into bands of size, each 4 / 3 (one over the threshold) of the one before; as linked sets are at most
+    that far apart, a query meets its own band and the two beside it only."""
     members = groups.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
     each = members.groupBy("group", "component").count()
     whole = each.groupBy("group").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("members"), F.max("count").alias("most")).where("members > most")
-    whole = whole.select("group", "main", F.ceil(F.col("members") / p.members_per_block).cast("int").alias("mb"), F.ceil((F.col("members") - F.col("most")) / p.queries_per_block).cast("int").alias("qb"))
-    rows = members.join(whole, "group").join(prefixes.select("node", "tokens"), "node")
+    band = F.floor(F.ln("n") / math.log(p.threshold.denominator / p.threshold.numerator)).cast("int")
+    rows = members.join(whole.select("group", "main"), "group").join(prefixes.select("node", band.alias("own"), "tokens"), "node")
+    rows = rows.withColumn("query", F.col("component") != F.col("main"))
+    near = F.explode(F.array(*[F.col("own") + d for d in (-1, 0, 1)])).alias("band")
+    told_in = rows.groupBy("group", F.col("own").alias("band")).agg(F.count("*").alias("told"))
+    asked_in = rows.where("query").select("group", near).groupBy("group", "band").agg(F.count("*").alias("asked"))
+    blocks = told_in.join(asked_in, ["group", "band"]).select("group", "band", F.ceil(F.col("told") / p.members_per_block).cast("int").alias("mb"), F.ceil(F.col("asked") / p.queries_per_block).cast("int").alias("qb"))
+    blocks = materialise(blocks, "blocks")
     draw = F.xxhash64("node", F.lit(3))
-    asked = rows.where("component <> main").select("group", F.pmod(draw, F.col("qb")).cast("int").alias("i"), F.explode(F.expr("sequence(0, mb - 1)")).alias("j"), F.lit(True).alias("query"), "node", "component", "tokens")
-    told = rows.select("group", F.explode(F.expr("sequence(0, qb - 1)")).alias("i"), F.pmod(draw, F.col("mb")).cast("int").alias("j"), F.lit(False).alias("query"), "node", "component", "tokens")
+    asked = rows.where("query").select("*", near).join(blocks, ["group", "band"])
+    asked = asked.select("group", "band", F.pmod(draw, F.col("qb")).cast("int").alias("i"), F.explode(F.expr("sequence(0, mb - 1)")).alias("j"), F.lit(True).alias("query"), "node", "component", "tokens")
+    told = rows.withColumn("band", F.col("own")).join(blocks, ["group", "band"])
+    told = told.select("group", "band", F.explode(F.expr("sequence(0, qb - 1)")).alias("i"), F.pmod(draw, F.col("mb")).cast("int").alias("j"), F.lit(False).alias("query"), "node", "component", "tokens")
     num, den = p.threshold.numerator, p.threshold.denominator
 
     def compare(table: pa.Table) -> pa.Table:
@@ -335,7 +347,7 @@ def _block_links(groups: DataFrame, labels: DataFrame, prefixes: DataFrame, p: J
         pair = np.concatenate(found, axis=1) if found else np.zeros((2, 0), I)
         return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
 
-    return asked.unionAll(told).groupBy("group", "i", "j").applyInArrow(compare, "a long, b long")
+    return asked.unionAll(told).groupBy("group", "band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _fits(n: np.ndarray, other: np.ndarray, t: Fraction) -> np.ndarray:
@@ -366,24 +378,29 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), doc_i
     """doc_id, n_shingles, component_id of each row with an id: the smallest id reachable over links of the threshold or more.
 
     Null texts and texts without a word have empty sets and link with nothing; texts of fewer than `size` words are one
-    shingle; repeated rows are in one component; rows without an id are left out, as nothing can refer to them; an
-    empty table gives an empty result; other columns don't matter.  Ids must be integers."""
+    shingle; repeated rows are in one component; very long texts are compared whole; rows without an id are left out, as
+    nothing can refer to them; an empty table gives an empty result; other columns don't matter.  Ids must be integers."""
     spark, p = docs.sparkSession, params
-    parts = partitions(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    parts = partitions(docs)
+    rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null"))
     table = materialise(_filter_all(rows, p, parts), "classes")
     classes, left = _survivors(table, p)
     free_shuffles(spark)
-    prefixes = _prefixes(_tokens_of(rows, left, p, parts), p, parts)
+    tokens = _tokens_of(rows, left, p, parts)
+    prefixes = _prefixes(tokens, p, parts)
+    drop(tokens)
     free_shuffles(spark)
     groups = _long_groups(prefixes, p, parts)
     stars = groups.where("group <> node").select(F.col("group").alias("a"), F.col("node").alias("b"))
     links = materialise(_verify(stars, prefixes, p), "links")
     labels = connected_components(links)
-    links = links.unionAll(materialise(_block_links(groups, labels, prefixes, p), "links"))
-    labels = connected_components(links)
+    if not groups.isEmpty():  # else there is no long list, and nothing more to link here
+        links = links.unionAll(materialise(_block_links(groups, labels, prefixes, p), "links"))
+        drop(labels)
+        labels = connected_components(links)
     free_shuffles(spark)
     more = materialise(_verify(_short_pairs(prefixes, labels, p, parts), prefixes, p), "links")
+    drop(labels, groups, prefixes)
     labels = connected_components(links.unionAll(more))
     found = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     found = materialise(found, "components")  # so that the join below has plain exchanges, which AQE splits where one class has very many copies
@@ -394,7 +411,10 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), doc_i
 
 
 def near_duplicates_removed(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; rows without an id stay."""
+    """The rows of docs whose id is the smallest of its component, with all their columns.
+
+    Rows without an id and with null or empty text stay; repeated rows of an id stay or go together; very long texts are
+    compared whole; an empty table gives an empty result; columns of any name stay as they are."""
     found = jaccard_components(docs, params, doc_id, text)
     return without_ids(docs, found.where(F.col("component_id") != F.col(doc_id)).select(doc_id), doc_id)
 
