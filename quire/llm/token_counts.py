@@ -1,9 +1,11 @@
 """Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
 Method.  A pre-token is a word with a leading word mark.  The distinct pre-tokens of a piece of a batch are taken in
-sorted order, which walks their trie depth first: the forward scores (best log probability of each prefix, with its
-token count) stand on a stack, and of the next pre-token only the part after the prefix it shares with the one before
-is computed.  The count at a pre-token's last letter is stored, and a document's count is the sum over its words.
+sorted order, which walks their trie depth first: a node has the forward score of its prefix (best log probability, with
+its token count), and as only the nodes above the current one are needed again, the trie is held as the stack of the
+current branch.  Of the next pre-token only the part after the prefix it shares with the one before is computed.  A
+forward score is pushed along the trie of the vocabulary's pieces, which ends at the first letter that no piece goes on
+with.  The count at a pre-token's last letter is stored, and a document's count is the sum over its words.
 
 Model.  The pieces of a public SentencePiece vocabulary, with log probability -ln(rank + `shift`): a Zipf law over the
 vocabulary's own order (the file's scores are merge ranks, not probabilities).  A letter that isn't a piece falls back
@@ -21,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.llm.common import pieces_of, spread
+
 MARK = "▁"
 _PIECE = 2048  # documents whose words share a trie
 
@@ -29,7 +33,7 @@ _PIECE = 2048  # documents whose words share a trie
 class CountParams:
     model: str = "piece_bpe_32k.model"  # a file of public_tokenizers or a path
     shift: float = 2.7
-    memo_words: int = 400_000
+    memo_bytes: int = 64_000_000  # of stored words and counts in each Python worker
 
 
 @lru_cache(maxsize=2)
@@ -44,12 +48,22 @@ def vocabulary(name: str, shift: float) -> tuple[dict[str, float], float, int]:
     return pieces, -math.log(model.vocab_size() + shift), max(map(len, pieces), default=1)
 
 
+@lru_cache(maxsize=2)
+def piece_ends(name: str, shift: float) -> dict[str, float | None]:
+    """The trie of the reversed pieces as a map from each suffix of a piece to its log probability, None where it is no piece
+    itself: a walk back from a place stops at the first suffix that is absent."""
+    pieces = vocabulary(name, shift)[0]
+    return {piece[i:]: pieces.get(piece[i:]) for piece in pieces for i in range(len(piece))}
+
+
 def terminal_counts(words: list[str], params: CountParams) -> dict[str, int]:
     """Tokens of the best segmentation of each distinct word; ties go to fewer tokens."""
-    pieces, byte, longest = vocabulary(params.model, params.shift)
+    pieces, byte, _ = vocabulary(params.model, params.shift)
+    ends = piece_ends(params.model, params.shift)
     out: dict[str, int] = {}
     score, count = [0.0], [0]
     before = ""
+    absent = object()
     for word in sorted(words):
         w = MARK + word
         k = 0
@@ -62,8 +76,10 @@ def terminal_counts(words: list[str], params: CountParams) -> dict[str, int]:
             if w[j - 1] not in pieces:
                 n = len(w[j - 1].encode("utf-8", "surrogatepass"))
                 best, n = score[j - 1] + n * byte, count[j - 1] + n
-            for i in range(max(0, j - longest), j):
-                p = pieces.get(w[i:j])
+            for i in range(j - 1, -1, -1):
+                p = ends.get(w[i:j], absent)
+                if p is absent:
+                    break
                 if p is not None:
                     s = score[i] + p
                     if s > best or (s == best and count[i] + 1 < n):
@@ -75,18 +91,27 @@ def terminal_counts(words: list[str], params: CountParams) -> dict[str, int]:
     return out
 
 
-_memo: dict[CountParams, dict[str, int]] = {}
+_memo: dict[CountParams, tuple[dict[str, int], list[int]]] = {}
+_ENTRY = 150  # bytes of a stored word besides its letters
+
+
+def _size(words: set[str]) -> int:
+    return sum(map(len, words)) + _ENTRY * len(words)
 
 
 def count_texts(texts: list[str | None], params: CountParams) -> tuple[np.ndarray, np.ndarray]:
     """Words and tokens of each text."""
-    memo = _memo.setdefault(params, {})
+    memo, used = _memo.setdefault(params, ({}, [0]))
     words = [t.split() if t else [] for t in texts]
     fresh = set().union(*words).difference(memo)
-    if len(memo) + len(fresh) > params.memo_words:  # keep memory bounded: start anew with this piece's words
+    size = _size(fresh)
+    if used[0] + size > params.memo_bytes:  # keep memory bounded: start anew with this piece's words
         memo.clear()
+        used[0] = 0
         fresh = set().union(*words)
+        size = _size(fresh)
     memo.update(terminal_counts(list(fresh), params))
+    used[0] += size
     get = memo.__getitem__
     return np.array([len(w) for w in words], np.int64), np.array([sum(map(get, w)) for w in words], np.int64)
 
@@ -94,17 +119,16 @@ def count_texts(texts: list[str | None], params: CountParams) -> tuple[np.ndarra
 def token_counts(docs: DataFrame, params: CountParams = CountParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens of each row.
 
-    Null and empty texts have none; words are what str.split() gives, of any length; repeated rows are counted each; an
+    Null and empty texts have none; words are what str.split() gives, of any length, and very long texts are counted whole; repeated rows are counted each; an
     empty table gives an empty result; other columns don't matter.  No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, _PIECE):
-                words, tokens = count_texts(b.column(1).slice(at, _PIECE).to_pylist(), params)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, _PIECE), pa.array(words), pa.array(tokens)], [doc_id, "n_words", "n_tokens"])
+        for b in pieces_of(batches, _PIECE):
+            words, tokens = count_texts(b.column(1).to_pylist(), params)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), pa.array(tokens)], [doc_id, "n_words", "n_tokens"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"{doc_id} {kind}, n_words long, n_tokens long")
+    return spread(docs.select(doc_id, text)).mapInArrow(run, f"{doc_id} {kind}, n_words long, n_tokens long")
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
