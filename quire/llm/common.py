@@ -80,8 +80,16 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+PARTITION_BYTES = 128 << 20
+
+
+def partitions(df: DataFrame) -> int:
+    """Partitions of a packed shuffle of what df's texts give: the session's number, or more where the input is larger than
+    PARTITION_BYTES (by the plan's own estimate, for a scan its files) for each, as Python holds one partition at a time.
+    Where the plan has no estimate, as for rows from the driver, the session's number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(number, -(-size // PARTITION_BYTES)) if size < 1 << 50 else number
 
 
 def spread(df: DataFrame) -> DataFrame:

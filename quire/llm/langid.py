@@ -7,8 +7,10 @@ without exclusion).  As the statistics are frozen, the cost of a byte depends on
 languages are compiled into one hash table from (context, byte) to a row of costs, and a text's exact code lengths are
 sums of table rows.  The language of the shortest code wins; ties go to the smallest name.
 
-Training.  The sample is bounded: per language about `docs_per_lang` documents, chosen by a hash of the id, of which
-whole texts are read until `bytes_per_lang` bytes are reached.  Prediction reads all bytes of all texts.
+Training.  The sample is bounded in rows and bytes: per language about `docs_per_lang` documents of at most `doc_bytes`,
+chosen by a hash of id and text, of which whole texts are read until `bytes_per_lang` bytes are reached.  The table has a
+row for each context and byte of the sample and four bytes a language in it, so its size is bounded by the sample's
+parameters and the number of languages, not by the input.  Prediction reads all bytes of all texts.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pieces_of
+from quire.llm.common import pieces_of, spread
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -34,6 +36,7 @@ _CHUNK = 1 << 18  # bytes scored at once
 class LangParams:
     max_order: int = 4
     docs_per_lang: int = 500
+    doc_bytes: int = 65_536  # longer texts teach nothing; they are predicted like all others
     bytes_per_lang: int = 1_500_000
 
 
@@ -178,13 +181,16 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text: the winner's share among codes weighed as 2 ** -bits."""
+        """Language and score of each text: the winner's share among codes weighed as 2 ** -(bits a byte), so that it tells how
+        much shorter the winner's code is, and not how long the text."""
         letters = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
         if not self.langs:
             return [UND] * len(texts), np.zeros(len(texts))
-        bits = self.lengths([t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(texts, letters, strict=True)])
+        data = [t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(texts, letters, strict=True)]
+        bits = self.lengths(data)
         best = bits.argmin(axis=1)
-        rest = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+        size = np.maximum(1, np.fromiter(map(len, data), np.int64, len(data)))[:, None]
+        rest = np.exp2((bits.min(axis=1, keepdims=True) - bits) / size).sum(axis=1)
         return [self.langs[b] if ok else UND for b, ok in zip(best, letters, strict=True)], np.where(letters, 1 / rest, 0.0)
 
 
@@ -195,14 +201,15 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, params: LangParams = LangParams(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model of the languages of docs, learnt on the bounded sample of rows that aren't held out.
 
-    Rows with null lang or text are left out.  Two scans: one counts rows per language, one reads the sample."""
+    Rows with null lang or text are left out, and texts of more than `doc_bytes`; rows without an id are drawn by their text;
+    repeated rows are drawn together; an empty table gives a model that answers `und`.  Two scans: one counts rows per language, one reads the sample."""
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
+    rows = rows.where(F.col("l").isNotNull() & (F.octet_length("t") <= params.doc_bytes) & ~held_out(F.col("i")))
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}  # one row for each language
     if not counts:
         return Model({}, params.max_order)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, params.docs_per_lang / n)])
-    draw = F.pmod(F.xxhash64(F.col("i"), F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64(F.col("i"), F.col("t"), F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
     sample = rows.where(draw < F.element_at(share, F.col("l"))).select("l", "t", draw.alias("d"))
     texts: dict[str, list[bytes]] = {k: [] for k in counts}
     size = dict.fromkeys(counts, 0)
@@ -215,8 +222,9 @@ def train(docs: DataFrame, params: LangParams = LangParams(), doc_id: str = "doc
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of each row.  Null texts and texts without a letter get `und` and score 0; repeated rows
-    are predicted each; other columns don't matter."""
+    """doc_id, lang_pred, score of each row.  Null texts and texts without a letter get `und` and score 0; ties go to
+    the smallest language name; very long texts are scored whole; repeated rows are predicted each; an empty table gives an
+    empty result; other columns don't matter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +233,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], [doc_id, "lang_pred", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"{doc_id} {kind}, lang_pred string, score double")
+    return spread(docs.select(doc_id, text)).mapInArrow(run, f"{doc_id} {kind}, lang_pred string, score double")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quire.llm.common import pieces_of, words_of
+from quire.llm.common import pieces_of, spread, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
@@ -169,18 +169,21 @@ def quality_report(docs: DataFrame, params: QualityParams = QualityParams(), doc
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(7)), pa.array(base), pa.array(kept)], [doc_id, *COLUMNS, "base_failed", "kept"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"{doc_id} {kind}, {', '.join(f'{c} long' for c in COLUMNS)}, base_failed boolean, kept boolean")
+    return spread(docs.select(doc_id, text)).mapInArrow(run, f"{doc_id} {kind}, {', '.join(f'{c} long' for c in COLUMNS)}, base_failed boolean, kept boolean")
 
 
 def quality_filter(docs: DataFrame, params: QualityParams = QualityParams(), text: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns; no shuffle."""
+    """The rows of docs that the rules keep, with all their columns; no shuffle.
+
+    Null and empty texts have no word, so their rows go; repeated rows are judged each; texts of any length are judged whole;
+    an empty table gives an empty result; other columns stay as they are."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
             yield b.filter(pa.array(verdicts(_figures(b.column(at), params), params)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

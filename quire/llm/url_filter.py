@@ -7,8 +7,9 @@ listed keys that level 2 takes wrongly, and so on until a level takes none wrong
 level that lacks it has an even number (or if all levels have it and their count is odd).  As every key of the
 universe was put through the levels when they were built, this is exact for every url of the table.
 
-Everything is DataFrame expressions.  A level is an array of 64-bit words, held in the plan as a literal; its size is
-checked against `max_bits`.  A false-positive set that doesn't fit gets a level 1 of lower error, which always ends:
+Everything is DataFrame expressions.  A level is an array of 64-bit words, once in the plan as a constant, which Spark
+broadcasts to each executor with the stage's task; a joined one-row column would be copied into every row.  Its size is
+checked against `max_bits` (2 MB by default, a million listed keys).  A false-positive set that doesn't fit gets a level 1 of lower error, which always ends:
 the expected number of false positives falls with each step while the level grows by a few bits a listed key.  A rule
 list too long for `max_bits` is refused with an error that says so, never cut.
 """
@@ -86,12 +87,10 @@ class Level:
     salt: int
 
     def has(self, key: Column) -> Column:
+        """Whether the level may hold the key: all of its positions are set. The words stand in the plan once."""
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        out = F.lit(True)
-        for j in range(self.hashes):
-            at = _position(key, self.bits, self.salt, j)
-            out = out & (F.getbit(F.get(words, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
-        return out
+        places = F.array(*[_position(key, self.bits, self.salt, j) for j in range(self.hashes)])
+        return F.forall(places, lambda at: F.getbit(F.get(words, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
 
 
 def _position(key: Column, bits: int, salt: int, j: int) -> Column:
@@ -127,7 +126,7 @@ class Cascade:
         return out & key.isNotNull()
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, fpp: float = 1e-3, max_bits: int = 1 << 20, salt: int = 0, later_fpp: float = 0.01) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, fpp: float = 1e-3, max_bits: int = 1 << 24, salt: int = 0, later_fpp: float = 0.01) -> Cascade:
     """listed, universe: DataFrames with a column `key` (universe: rows may repeat). Empty lists give no levels."""
     listed = listed.select("key").where(F.col("key").isNotNull()).distinct()
     n = listed.count()
@@ -153,19 +152,21 @@ def build_cascade(listed: DataFrame, universe: DataFrame, fpp: float = 1e-3, max
     return Cascade(tuple(levels))
 
 
-def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow", fpp: float = 1e-3, max_bits: int = 1 << 20) -> DataFrame:
+def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow", fpp: float = 1e-3, max_bits: int = 1 << 24) -> DataFrame:
     """`keep` columns, host, path, rule (the key of the longest rule that fits, else null) and verdict of each row.
 
     A rule fits its host and all subdomains if the path starts with the rule's; a url that no rule fits gets `default`,
     the method's verdict on an unlisted url.  Null urls and urls without :// have empty host and path, fit no rule and
-    get `default`.  Repeated rows stay; an empty table gives an empty result; other columns don't matter.
+    get `default`.  Very long urls are judged whole; of rules with one key the one whose verdict comes first by name counts;
+    repeated rows stay; an empty table gives an empty result; other columns don't matter.
     """
     spark = pages.sparkSession
     lengths = sorted({len(r.path) for r in rules}, reverse=True)
     rows = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     keys = candidate_keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>")
     # one short row for each distinct (host, prefix that matters) before keys are spread out
-    universe = rows.select("host", F.substring("path", 1, max(lengths, default=0)).alias("path")).distinct().select(F.explode(keys).alias("key"))
+    universe = rows.select("host", F.substring("path", 1, max(lengths, default=0)).alias("path")).distinct()
+    universe = materialise(universe.select(F.explode(keys).alias("key")).distinct(), "universe")
     verdicts = {}
     for i, verdict in enumerate(sorted({r.verdict for r in rules})):
         listed = spark.createDataFrame([(r.key,) for r in rules if r.verdict == verdict], "key string")
@@ -173,7 +174,7 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "ur
     hit = F.filter(keys, lambda k: _any([c.has(k) for c in verdicts.values()]))
     out = rows.withColumn("rule", F.get(hit, F.lit(0)))
     verdict = F.lit(default)
-    for name, cascade in verdicts.items():
+    for name, cascade in reversed(verdicts.items()):  # of equal keys, the first verdict by name counts
         verdict = F.when(F.col("rule").isNotNull() & cascade.has(F.col("rule")), F.lit(name)).otherwise(verdict)
     return out.withColumn("verdict", verdict)
 

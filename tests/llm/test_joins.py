@@ -123,15 +123,46 @@ def test_leaks_equal_brute_force(spark):
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("length", F.lit(1))
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(d, b).collect()}
     want = brute.leaks(docs, items)
-    assert len(want) > 10 and set(got) == set(want)
-    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert len(want) > 10 and set(got) <= set(want) and len(got) >= 0.9 * len(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_recall_and_selectivity_of_the_index(spark):
+    """Items with edits that leave a similarity of about 0.75 to 0.9: recall against all windows, and pairs that the index joins."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    items = [(j, " ".join(word() for _ in range(r.choice([30, 40])))) for j in range(40)]
+    docs = []
+    for i in range(240):
+        part = items[i % 40][1].split()
+        part[r.randrange(len(part))] = word()
+        w = [word() for _ in range(8)]
+        docs.append((i, " ".join(w[:4] + part + w[4:])))
+    d, b = spark.createDataFrame(docs, EMPTY), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(d, b).collect()}
+    want = brute.leaks(docs, items)
+    assert len(want) > 150 and got <= set(want) and len(got) >= 0.95 * len(want)
+    prints = lambda n, name: spark.range(n).select(F.col("id").alias(name), F.lit(40).alias("length"), F.xxhash64("id", F.lit(name)).alias("print"))
+    unlike = decontaminate.candidates(prints(400, "k"), prints(300, "item"), decontaminate.DecontaminationParams(), "k").count()
+    assert unlike < 0.001 * 400 * 300
+    values = decontaminate.block_values(F.col("print"), 6), decontaminate.block_values(F.col("print"), 6, 2)
+    met = prints(400, "k").select("k", F.explode(values[0]).alias("b")).join(prints(300, "item").select("item", F.explode(values[1]).alias("b")), "b").select("k", "item").distinct().count()
+    assert met < 0.3 * 400 * 300
+
+
+def test_repeated_ids_leak_what_any_of_their_texts_does(spark):
+    items = [(1, " ".join(f"q{i}" for i in range(30))), (1, " ".join(f"z{i}" for i in range(25)))]
+    docs = [(7, "nothing"), (7, items[0][1]), (8, "x " * 200_000 + items[1][1]), (9, None)]
+    d, b = spark.createDataFrame(docs, EMPTY).withColumn("print", F.lit(1)), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("c"))
+    assert sorted((x["doc_id"], x["start"]) for x in decontaminate.leaks(d, b).collect()) == [(7, 0), (8, 200_000)]
+    assert [x["doc_id"] for x in decontaminate.decontaminated(d, b).collect()] == [9]
 
 
 def test_leaks_by_shuffle_join_and_of_nothing(spark):
     docs, items = leaky()
     d, b = spark.createDataFrame(docs, EMPTY), spark.createDataFrame(items, "item_id long, text string")
     p = decontaminate.DecontaminationParams(broadcast_rows=1)
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b, p).collect()} == set(brute.leaks(docs, items))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b, p).collect()} == {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()}
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
     assert decontaminate.decontaminated(d, b.limit(0)).count() == len(docs)
 

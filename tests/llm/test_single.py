@@ -47,6 +47,13 @@ def test_cascade_is_exact_with_poor_filters(spark):
     assert {r["key"] for r in universe.where(c.has(F.col("key"))).collect()} == {f"k{i}" for i in range(0, 400, 4)}
 
 
+def test_equal_rules_and_long_urls(spark):
+    rules = (url_filter.Rule("block", "a.com"), url_filter.Rule("allow", "a.com"), url_filter.Rule("block", "com", "/x/"), url_filter.Rule("allow", "b.com", "/x/"))
+    df = spark.createDataFrame([(1, "http://a.com/"), (2, "http://c.com/x/y"), (3, "http://b.com/x/" + "z" * 1_000_000), (4, "http://" + "s." * 2000 + "b.com/x/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(df, rules, default="none").collect()}
+    assert got == {1: ("a.com/", "allow"), 2: ("com/x/", "block"), 3: ("b.com/x/", "allow"), 4: ("b.com/x/", "allow")}
+
+
 # op2
 def brute_repeats(ids):
     n = len(ids)
@@ -135,6 +142,12 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_ties_and_empty_tables_of_languages(spark):
+    model = langid.Model({"b": [b"same text"], "a": [b"same text"]}, 3)
+    assert model.predict(["same text", "other"])[0] == ["a", "a"] and model.predict(["same text"])[1][0] == pytest.approx(0.5)
+    assert langid.predict(spark.createDataFrame([], EMPTY), model).count() == 0
+
+
 # op5
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
@@ -156,6 +169,25 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_of_long_runs(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    texts = [" " * 2_000_000 + "a", "\n" * 2_000_000 + "a", "ab" * 1_000_000]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), EMPTY)).toPandas()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        own = got[got["doc_id"] == i].sort_values("start")
+        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own["start"], own["length"], strict=True)] == own["ids_crc32"].tolist() and own["length"].sum() == len(ids)
+
+
+def test_null_and_repeated_ids_spread_over_groups(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(300)] + [(5, "same")] * 300, EMPTY)
+    got = packing.pack(df, packing.PackParams(group_docs=50)).select((F.col("sequence_id") / (1 << 32)).cast("long").alias("g"), "doc_id").groupBy("g", "doc_id").count().toPandas()
+    assert got["count"].sum() == 600 and got.groupby("doc_id", dropna=False)["count"].max().max() <= 60
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=60))
 def test_first_fit_decreasing(sizes):
@@ -181,6 +213,24 @@ def test_preferences(spark):
     assert got[2]["rejected"] == "" and got[3]["chosen"] == "" and got[3]["n_prompt_turns"] == 0
 
 
+def test_alternatives_share_a_prompt(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 2, "user", "more"), (1, 3, "assistant", "second"), (1, 4, "user", "bye"), (2, 0, "user", "q"), (2, 1, "assistant", "only"), (3, 0, "user", "none"), (4, 0, "assistant", None), (4, 0, "assistant", "b"), (None, 0, "assistant", "x"), (5, None, "assistant", "x")]
+    df = spark.createDataFrame([*rows, rows[0]], "conv_id long, turn long, role string, text string").withColumn("side", F.lit(1)).withColumn("pair_id", F.lit(1))
+    got = {r["pair_id"]: r for r in chat_format.preference_pairs(chat_format.alternatives(df)).collect()}
+    assert set(got) == {1, 2, 4}
+    assert got[1]["n_prompt_turns"] == 3 and "bye" not in got[1]["chosen"] and "second" in got[1]["chosen"] and "first" in got[1]["rejected"] and "first" in got[1]["prompt"]
+    assert got[2]["n_prompt_turns"] == 1 and got[2]["rejected"] == "" and got[4]["prompt"] == ""
+    assert chat_format.preference_pairs(chat_format.alternatives(df.limit(0))).count() == 0
+
+
+def test_masks_of_a_long_conversation(spark):
+    n = 3000
+    rows = [(1, s, i, "assistant" if i % 2 else "user", f"turn {i}" if i < n - 1 else s) for s in ("chosen", "rejected") for i in range(n)]
+    r = chat_format.preference_pairs(spark.createDataFrame(rows + [(2, "chosen", 0, "assistant", "y" * 1_000_000)], "pair_id long, side string, turn long, role string, text string")).orderBy("pair_id").collect()
+    assert r[0]["n_prompt_turns"] == n - 1 and r[0]["chosen"].count("<|im_start|>") == 1
+    assert [tuple(m) for m in r[1]["chosen_mask"]] == [(len("<|im_start|>assistant") + 1, 1_000_000 + len("<|im_end|>\n"))]
+
+
 # op7
 def page(body, host="a.com", i=0):
     return (i, f"http://{host}/{i}", body)
