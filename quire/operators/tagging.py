@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import values as V
-from quire.functions.text import contains_phrase, holds, let, norm, tokens
+from quire.functions.text import Phrases, contains_phrase, holds, let, norm, tokens
 
 MOST_RAW, DEGRADED_CAP, THRESHOLD = 2.0, 1.20, 0.75
 
@@ -22,14 +22,15 @@ def field_scores(text: Column, path: Column, field: str) -> Column:
     """array of struct(label, raw, priority) of the built-in taxonomy for one field: alias in text 0.30, alias in path
     0.20, keyword coverage x 0.35, label-token overlap x 0.15."""
     rows = [r for r in V.TAXONOMY if r[0] == field]
+    phrases = Phrases([w for _, label, aliases, keywords, _ in rows for w in (label, *aliases, *keywords)])
 
     def score(t: Column, p: Column, words: Column) -> Column:
         out = []
         for _, label, aliases, keywords, priority in rows:
             names = [label.lower(), *aliases]
-            hit = lambda c: F.when(_any([holds(c, a) for a in names]), 1.0).otherwise(0.0)
+            hit = lambda c: F.when(_any([phrases.has(c, a) for a in names]), 1.0).otherwise(0.0)
             used = [k for k in keywords if len(k) >= 3]
-            cover = _count([holds(t, k) for k in used]) / F.lit(max(len(keywords), 1))
+            cover = _count([phrases.has(t, k) for k in used]) / F.lit(max(len(keywords), 1))
             own = sorted(set(label.lower().split()))
             overlap = _count([F.array_contains(words, w) for w in own]) / F.lit(len(own))
             raw = 0.30 * hit(t) + 0.20 * hit(p) + 0.35 * cover + 0.15 * overlap
@@ -37,7 +38,7 @@ def field_scores(text: Column, path: Column, field: str) -> Column:
         return F.array(*out)
 
     plain = lambda c: norm(F.translate(F.coalesce(c, F.lit("")), "_\\/", "   "))
-    return let(F.struct(plain(text).alias("t"), plain(path).alias("p"), tokens(text).alias("w")), lambda x: score(x["t"], x["p"], x["w"]))
+    return let(F.struct(phrases.prepare(plain(text)).alias("t"), phrases.prepare(plain(path)).alias("p"), tokens(text).alias("w")), lambda x: score(x["t"], x["p"], x["w"]))
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -85,32 +86,36 @@ def _decided(field: str, text: str, path: str) -> Column:
 def votes(text: Column, table: dict[str, list[str]], default: str, by_length: bool = False) -> Column:
     """The code with the most keyword hits (or hits weighed by phrase length); the first listed wins ties."""
 
+    phrases = Phrases([k for ks in table.values() for k in ks])
+
     def run(t: Column) -> Column:
         each = []
         for i, (code, keywords) in enumerate(table.items()):
             total = F.lit(0.0)
             for k in keywords:
-                total = total + F.when(holds(t, k), 1.0 + (0.5 * (len(k.split()) - 1) if by_length else 0.0)).otherwise(0.0)
+                total = total + F.when(phrases.has(t, k), 1.0 + (0.5 * (len(k.split()) - 1) if by_length else 0.0)).otherwise(0.0)
             each.append(F.struct(total.alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")))
         return let(F.array_max(F.array(*each)), lambda b: F.when(b["n"] > 0, b["code"]).otherwise(default))
 
-    return let(norm(F.translate(F.coalesce(text, F.lit("")), "_", " ")), run)
+    return let(phrases.prepare(norm(F.translate(F.coalesce(text, F.lit("")), "_", " "))), run)
 
 
 def countries(text: Column) -> Column:
     """ISO-3 codes by names (one each) and currency codes (one each): up to three with at least half of the top count, in
     order of count and name; USA if there is none."""
 
-    def run(t: Column) -> Column:
+    phrases = Phrases(list(V.COUNTRIES))
+
+    def run(x: Column) -> Column:
         points: dict[str, list[Column]] = {}
         for name, iso in V.COUNTRIES.items():
-            points.setdefault(iso, []).append(holds(t, name))
+            points.setdefault(iso, []).append(phrases.has(x["p"], name))
         for code, iso in V.CURRENCIES.items():
-            points.setdefault(iso, []).append(t.contains(code.lower()))
+            points.setdefault(iso, []).append(x["t"].contains(code.lower()))
         each = F.filter(F.array(*[F.struct((-_count(c)).alias("n"), F.lit(iso).alias("iso")) for iso, c in points.items()]), lambda x: x["n"] < 0)
         return let(F.slice(F.array_sort(each), F.lit(1), F.lit(3)), lambda top: F.when(F.size(top) == 0, "USA").otherwise(F.array_join(F.transform(F.filter(top, lambda x: x["n"] * 2 <= F.get(top, F.lit(0))["n"]), lambda x: x["iso"]), ", ")))
 
-    return let(norm(text), run)
+    return let(norm(text), lambda t: let(F.struct(t.alias("t"), phrases.prepare(t).alias("p")), run))
 
 
 def allowed_value(candidates: DataFrame, allowed: DataFrame, column: str) -> DataFrame:

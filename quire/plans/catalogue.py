@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, queues, reports
+from quire.plans import documents, lifecycle, queues, reports
 
-_MODULES = (documents, queues, reports)
+_MODULES = (documents, lifecycle, queues, reports)
 
 
 def queries() -> dict:

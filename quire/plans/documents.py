@@ -90,9 +90,19 @@ def ocr_routing(spark, d):
     return p.select("doc_id", A.needs_ocr(F.col("text"), F.col("mime"), F.col("n_chars") % 2).alias("needs_ocr"), A.valid_ocr(F.col("text"), (F.col("n_chars") % 100).cast("double"), F.lit(40.0)).alias("verdict"))
 
 
+#: The corpus is invented prose without such marks, so frequent words of its four languages stand in for them, in each text.
+MARKS = (("the", "confidential"), ("und", "restricted"), ("que", "internal use"), ("los", "public"), ("with", "not"))
+_marked_sql = "text"
+for _a, _b in MARKS:
+    _marked_sql = f"regexp_replace({_marked_sql}, '(^|[^\\p{{L}}]){_a}($|[^\\p{{L}}])', '\\1{_b}\\2', 'g')"
+
+
 def confidentiality(spark, d):
-    t = F.concat_ws(" ", F.when(F.col("doc_id") % 7 == 0, "strictly confidential").when(F.col("doc_id") % 7 == 1, "not confidential, internal use").when(F.col("doc_id") % 7 == 2, "restricted to staff").when(F.col("doc_id") % 7 == 3, "restricted").when(F.col("doc_id") % 7 == 4, "public, unrestricted"), F.col("text"))
-    return table(spark, d, "documents").select("doc_id", T.confidentiality(t).alias("confidentiality"), T.data_classification(t).alias("data_classification"))
+    """Marks of secrecy in the text of every document."""
+    t = F.col("text")
+    for a, b in MARKS:
+        t = F.regexp_replace(t, rf"(^|[^\p{{L}}]){a}($|[^\p{{L}}])", f"$1{b}$2")
+    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", T.confidentiality(F.col("t")).alias("confidentiality"), T.data_classification(F.col("t")).alias("data_classification"))
 
 
 _EL, _ER = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
@@ -103,7 +113,7 @@ def _has(p: str) -> str:
 
 
 CONF_SQL = rf"""
-with x as (select doc_id, trim(regexp_replace(lower(concat_ws(' ', case doc_id % 7 when 0 then 'strictly confidential' when 1 then 'not confidential, internal use' when 2 then 'restricted to staff' when 3 then 'restricted' when 4 then 'public, unrestricted' end, text)), '\s+', ' ', 'g')) as t from documents)
+with x as (select doc_id, trim(regexp_replace(lower(coalesce({_marked_sql}, '')), '\s+', ' ', 'g')) as t from documents)
 select doc_id, case when {_has('(strictly )?confidential')} and not {_has('not confidential')} then 'Confidential' when {_has('(internal (use|only)|restricted)')} and not {_has('unrestricted')} then 'Internal' else 'Public' end as confidentiality,
  case when {_has('spii')} or regexp_matches(t, '{_EL}sensitive personal') then 'GE Confidential with SPII'
   when regexp_matches(regexp_replace(t, '{_EL}restricted (to|from|access)', '\1x', 'g'), '{_EL}restricted{_ER}') and not {_has('unrestricted')} then 'GE Restricted'
@@ -127,13 +137,22 @@ def record_type_votes(spark, d):
     return out.withColumn("record_category", T.record_category(F.col("record_type")))
 
 
+#: The distinct words of each text t, joined with phrases on their first word; only those pairs see a pattern.
+_FIRST = "w as (select doc_id, unnest(list_distinct(regexp_extract_all(t, '[\\p{L}\\p{N}_]+'))) as word from x)"
+
+
+def _first(phrase: str) -> str:
+    return T.spaced(phrase).replace("-", " ").replace("&", " ").replace(".", " ").split()[0]
+
+
 def _votes_sql(table_: dict, by_length: bool) -> str:
-    rows = ", ".join(f"({i}, '{code}', '{T.phrase_pattern(k)}', {1 + 0.5 * (len(k.split()) - 1) if by_length else 1.0})" for i, (code, ks) in enumerate(table_.items()) for k in ks)
-    return f"(select doc_id, arg_min(code, (-n, i)) as code from (select doc_id, code, i, sum(w) as n from x join (values {rows}) v(i, code, p, w) on regexp_matches(t, p) group by all) group by doc_id)"
+    rows = ", ".join(f"({i}, '{code}', '{_first(k)}', '{T.phrase_pattern(k)}', {1 + 0.5 * (len(k.split()) - 1) if by_length else 1.0})" for i, (code, ks) in enumerate(table_.items()) for k in ks)
+    return f"(select doc_id, arg_min(code, (-n, i)) as code from (select doc_id, code, i, sum(s) as n from w join (values {rows}) v(i, code, word, p, s) using (word) join x using (doc_id) where regexp_matches(t, p) group by all) group by doc_id)"
 
 
 VOTES_SQL = f"""
-with x as (select doc_id, trim(regexp_replace(lower(translate({_HINT_SQL}, '_', ' ')), {_SPACES})) as t from documents)
+with x as (select doc_id, trim(regexp_replace(lower(translate({_HINT_SQL}, '_', ' ')), {_SPACES})) as t from documents),
+{_FIRST}
 select x.doc_id, coalesce(r.code, '') as record_type, coalesce(b.code, 'GECC HQ') as business_unit,
   coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in V.CATEGORY_OF_PREFIX.items())}}}[regexp_extract(coalesce(r.code, ''), '^([A-Z]+)', 1)], '') as record_category
 from x left join {_votes_sql(V.RECORD_TYPES, False)} r on x.doc_id = r.doc_id left join {_votes_sql(V.BUSINESS_UNITS, True)} b on x.doc_id = b.doc_id
@@ -144,10 +163,14 @@ def country_votes(spark, d):
     return table(spark, d, "documents").select("doc_id", tagging.countries(_hinted()).alias("countries"))
 
 
-_COUNTRY_ROWS = ", ".join([f"('{iso}', '{T.phrase_pattern(name)}')" for name, iso in V.COUNTRIES.items()] + [f"('{iso}', '{code.lower()}')" for code, iso in V.CURRENCIES.items()])
+_COUNTRY_ROWS = ", ".join(f"('{iso}', '{_first(name)}', '{T.phrase_pattern(name)}')" for name, iso in V.COUNTRIES.items())
+_CURRENCY_ROWS = ", ".join(f"('{iso}', '{code.lower()}')" for code, iso in V.CURRENCIES.items())
 COUNTRY_SQL = f"""
 with x as (select doc_id, trim(regexp_replace(lower({_HINT_SQL}), {_SPACES})) as t from documents),
-v as (select doc_id, iso, count(*) as n from x join (values {_COUNTRY_ROWS}) v(iso, p) on regexp_matches(t, p) group by all),
+{_FIRST},
+hits as (select doc_id, iso from w join (values {_COUNTRY_ROWS}) v(iso, word, p) using (word) join x using (doc_id) where regexp_matches(t, p)
+  union all select doc_id, iso from x join (values {_CURRENCY_ROWS}) c(iso, code) on contains(t, code)),
+v as (select doc_id, iso, count(*) as n from hits group by all),
 r as (select *, row_number() over (partition by doc_id order by n desc, iso) as k, max(n) over (partition by doc_id) as top from v)
 select x.doc_id, coalesce(any_value(c), 'USA') as countries from x left join (select doc_id, string_agg(iso, ', ' order by k) as c from r where k <= 3 and n * 2 >= top group by doc_id) y on x.doc_id = y.doc_id group by x.doc_id
 """
@@ -212,7 +235,7 @@ select c.p_type, b.value, case b.tier when 1 then 'exact' when 2 then 'partial'
 
 
 def metadata_row_match(spark, d):
-    """Every document against a stated sheet of rows (the benchmark items stand in), the best row by points."""
+    """Every document against a stated sheet of rows (the nations stand in), the best row by points."""
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("row"), F.lower("n_name").alias("rname"), F.concat(F.lit("src"), F.col("n_nationkey")).alias("rpath"))
     docs = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("x "), F.col("lang"), F.lit(" "), F.col("source")).alias("name"))
     score = tagging.match_score({"name": F.col("name"), "path": F.col("source")}, {"name": F.col("rname"), "path": F.col("rpath")})
@@ -220,17 +243,40 @@ def metadata_row_match(spark, d):
     return pairs.select("doc_id", F.col("b.points").cast("long").alias("points"), (-F.col("b.r")).cast("long").alias("row"))
 
 
-GARBAGE = ("A", "GL", "CCAC8CFC6P", "74,564,570", "1.3E11", "A1:D10", "x=12345", "Total Amount", "ONE TWO THREE", "www.site.com page", "c:\\users\\x", "Jane Doe", "Société Générale", "12ab34567890", "report.pdf file")
+GARBAGE = ("A", "GL", "CCAC8CFC6P", "74,564,570", "1.3E11", "A1:D10", "x=12345", "Total Amount", "ONE TWO THREE", "www.site.com page", "www.site.de page", "c:\\users\\x", "Jane Doe", "Société Générale", "12ab34567890", "report.pdf file")
+
+
+def _entity_candidates():
+    """One value of each row of documents: a word, two words or a piece of the text, or one of the golden values."""
+    kinds = [F.split("text", r"\s+")[0], F.regexp_extract("text", r"(\S+\s+\S+)", 1), F.substring("text", 1, 90), F.upper(F.translate(F.substring("text", 1, 24), "ß", "s")), F.concat(F.col("source"), F.lit("="), F.col("n_chars"), F.lit("000"))]
+    golden = F.element_at(F.array(*[F.lit(g) for g in GARBAGE]), (F.col("doc_id") % len(GARBAGE) + 1).cast("int"))
+    out = golden
+    for i, k in enumerate(kinds):
+        out = F.when(F.col("doc_id") % (len(kinds) + 1) == i, k).otherwise(out)
+    return out
 
 
 def entity_cleanup(spark, d):
-    value = F.element_at(F.array(*[F.lit(g) for g in GARBAGE]), (F.col("doc_id") % len(GARBAGE) + 1).cast("int"))
+    value = _entity_candidates()
     return table(spark, d, "documents").select("doc_id", value.alias("entity"), entities.is_garbage(value).alias("garbage"))
 
 
+def _garbage_sql() -> str:
+    """The rules over a column v, written for DuckDB."""
+    letters, s = "length(regexp_replace(v, '[^\\p{L}]', '', 'g'))", "trim(v)"
+    headers = "|".join(w for w in entities.HEADER_WORDS if w != "No.")
+    long_words = f"list_filter(regexp_extract_all({s}, '\\S+'), lambda w: length(w) > 1)"
+    return f"""(length(v) < 2 or length(v) > 80 or {letters} < 2 or (length(v) > 4 and {letters} < 0.4 * length(v))
+ or regexp_matches({s}, '^(\\p{{Lu}}{{1,4}}|[A-Z0-9]{{6,}}|-?[0-9][0-9.,-]*|[0-9]{{1,3}}(,[0-9]{{3}})+|-?[0-9]+\\.?[0-9]*[Ee][+-]?[0-9]+)$')
+ or regexp_matches({s}, '^(col|row)_|\\$[A-Z]+\\$?[0-9]+|^[A-Z]+[0-9]+:[A-Z]+[0-9]+$') or (contains({s}, '=') and len(regexp_extract_all({s}, '[0-9]')) > 3)
+ or regexp_matches({s}, '(?i)^({headers})($|[^A-Za-z0-9_])|^No\\.[A-Za-z0-9_]')
+ or (len(regexp_extract_all({s}, '\\S+')) >= 3 and len(list_filter({long_words}, lambda w: not ((upper(w) = w and lower(w) <> w) or not regexp_matches(w, '^\\p{{L}}')))) = 0)
+ or regexp_matches({s}, '{entities.WEB}') or regexp_matches(v, '(?i){entities.PATH_PIECES}'))"""
+
+
 def entity_lists(spark, d):
     t = F.concat(F.lit("Jane Doe met JANE DOE and Jane  Doe at Société Générale for USD 5 or $7. "), F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(entities.proper_names(t, 3), "|").alias("names"), entities.first_money(t).alias("amount"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(entities.proper_names(t, 10), "|").alias("names"), entities.first_money(t).alias("amount"))
 
 
 def tag_details(spark, d):
@@ -291,11 +337,25 @@ def _subtags_sql() -> str:
     return "[" + ", ".join(f"case when regexp_matches(t, '{T.phrase_pattern(w)}') then '{w}' end" for w in words) + "]"
 
 
-_GARBAGE_FLAGS = (True, True, True, True, True, True, True, True, True, True, True, False, False, True, True)
-SQL["entity_cleanup"] = "select doc_id, [" + ", ".join(f"'{g}'" for g in GARBAGE) + f"][doc_id % {len(GARBAGE)} + 1] as entity, [" + ", ".join(str(x).lower() for x in _GARBAGE_FLAGS) + f"][doc_id % {len(GARBAGE)} + 1] as garbage from documents"
+_CANDIDATES_SQL = "case doc_id % 6 when 0 then regexp_extract(text, '^(\\S*)', 1) when 1 then regexp_extract(text, '(\\S+\\s+\\S+)', 1) when 2 then text[:90] when 3 then upper(replace(text[:24], 'ß', 's')) when 4 then source || '=' || n_chars || '000' else [" + ", ".join(f"'{g}'" for g in GARBAGE) + f"][doc_id % {len(GARBAGE)} + 1] end"
+SQL["entity_cleanup"] = f"select doc_id, v as entity, {_garbage_sql()} as garbage from (select doc_id, {_CANDIDATES_SQL} as v from documents) x"
+_MONEY_TEXT = "concat_ws(' ', 'Paid USD 1,200.50 and $ 7 on 2024-01-31, 3/4/21 or Jan 5, 2020.', text)"
+_ordered = lambda p, t: f"list_transform(list_filter(list_zip(regexp_extract_all({t}, '{p}'), range(0, len(regexp_extract_all({t}, '{p}')))), lambda z: list_position(regexp_extract_all({t}, '{p}'), z[1]) = z[2] + 1), lambda z: z[1])"
+SQL["money_and_dates"] = f"select doc_id, array_to_string({_ordered(V.MONEY, _MONEY_TEXT)}[1:5], '|') as amounts, array_to_string({_ordered(V.DATES, _MONEY_TEXT)}[1:5], '|') as dates from documents"
+_NAMES_TEXT = "'Jane Doe met JANE DOE and Jane  Doe at Société Générale for USD 5 or $7. ' || text"
+SQL["entity_lists"] = f"""
+with c as (select doc_id, unnest(regexp_extract_all({_NAMES_TEXT}, '\\p{{Lu}}\\p{{Ll}}+(?: \\p{{Lu}}\\p{{Ll}}+){{1,3}}')) as v, generate_subscripts(regexp_extract_all({_NAMES_TEXT}, '\\p{{Lu}}\\p{{Ll}}+(?: \\p{{Lu}}\\p{{Ll}}+){{1,3}}'), 1) as i from documents),
+good as (select doc_id, arg_min(v, i) as v, min(i) as i from c where not {_garbage_sql()} group by doc_id, lower(v)),
+firsts as (select doc_id, v, i from good qualify row_number() over (partition by doc_id order by i) <= 10),
+m as (select doc_id, regexp_extract_all({_NAMES_TEXT}, '{V.MONEY}') as a from documents)
+select m.doc_id, coalesce(n.names, '') as names, coalesce(list_filter(a, lambda y: regexp_matches(y, '[₹$€£]'))[1], a[1], '') as amount
+from m left join (select doc_id, string_agg(v, '|' order by i) as names from firsts group by doc_id) n using (doc_id)"""
 SQL["tag_details"] = f"""select doc_id, array_to_string(list_filter({_subtags_sql()}, lambda x: x is not null)[1:15], ',') as subtags,
  case when doc_id % 4 = 0 then case when doc_id % 3 = 0 then 'no_match' else 'forced' end when doc_id % 4 = 1 then 'pass' else 'none' end as provenance, length(trim(text)) < 50 and doc_id % 2 <> 0 as too_little
  from (select doc_id, text, trim(regexp_replace(lower(translate({_HINT_SQL}, '_\\/', '   ')), {_SPACES})) as t from documents) x"""
-SQL["registry_casing"] = "select p_partkey, p_type || ', ' || p_brand as labels from part"
+SQL["registry_casing"] = """
+with known as (select distinct v, lower(trim(v)) as k from (select p_type as v from part union all select p_brand from part) x),
+parts as (select p_partkey, i, lower(trim(([lower(p_type), 'unknown', upper(p_brand)])[i])) as k from part, range(1, 4) r(i))
+select p_partkey, coalesce(string_agg(v, ', ' order by i), '') as labels from parts left join known using (k) group by p_partkey"""
 SQL["enhancement"] = "with x as (select l_orderkey, l_linenumber, l_quantity * 5 as b, l_quantity + l_linenumber * 5 as c, l_partkey % 300 as s, case when l_linenumber = 1 then l_discount * 10 end as q from lineitem) select l_orderkey, l_linenumber, case when q is not null then case when q < 0.3::double then 'EXTREME_RESTORE' when q < 0.5::double then 'AGGRESSIVE' when q < 0.7::double then 'BALANCED' else 'LIGHT' end when c < 25 then 'EXTREME_RESTORE' when c < 40 or s < 80 then 'AGGRESSIVE' when s < 150 then 'BALANCED' when b < 60 or b > 200 then 'AGGRESSIVE' when b < 100 or b > 160 then 'BALANCED' else 'LIGHT' end as mode, case when b < 80 then 0.85 when b > 180 then 1.15 else 1.0 end::double as gamma from x"
 SQL["page_shares"] = "with x as (select l_orderkey, l_linenumber, case when l_linenumber > 1 then l_quantity else 0 end::double as c, case when l_linenumber > 2 then l_discount * 100 else 0 end::double as n from lineitem) select l_orderkey, l_linenumber, case when c + n > 0 then c * 100 / (c + n) else 0 end as clean, case when c + n > 0 then n * 100 / (c + n) else 0 end as noise, case when c + n > 0 then 0 else 100 end::double as whitespace from x"

@@ -20,8 +20,16 @@ FILES = T.StructType([
 ])
 
 
+#: Tables whose rows are texts, which take long each.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.  Texts are dealt over all cores where their scan has fewer splits than there are cores, as a table of
+    one row group has; a table of any size beyond that is left as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
