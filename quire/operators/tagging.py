@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import values as V
-from quire.functions.text import Phrases, contains_phrase, holds, let, norm, tokens
+from quire.functions.text import Phrases, contains_phrase, holds, let, norm, record_category, tokens
 
 MOST_RAW, DEGRADED_CAP, THRESHOLD = 2.0, 1.20, 0.75
 
@@ -18,9 +18,9 @@ def _count(conditions: list[Column]) -> Column:
     return out
 
 
-def field_scores(text: Column, path: Column, field: str) -> Column:
+def field_scores(text: Column, path: Column, field: str, feedback: dict[str, float] | None = None) -> Column:
     """array of struct(label, raw, priority) of the built-in taxonomy for one field: alias in text 0.30, alias in path
-    0.20, keyword coverage x 0.35, label-token overlap x 0.15."""
+    0.20, keyword coverage x 0.35, label-token overlap x 0.15, and what reviewers' feedback gives a label, at most 0.20."""
     rows = [r for r in V.TAXONOMY if r[0] == field]
     phrases = Phrases([w for _, label, aliases, keywords, _ in rows for w in (label, *aliases, *keywords)])
 
@@ -33,7 +33,8 @@ def field_scores(text: Column, path: Column, field: str) -> Column:
             cover = _count([phrases.has(t, k) for k in used]) / F.lit(max(len(keywords), 1))
             own = sorted(set(label.lower().split()))
             overlap = _count([F.array_contains(words, w) for w in own]) / F.lit(len(own))
-            raw = 0.30 * hit(t) + 0.20 * hit(p) + 0.35 * cover + 0.15 * overlap
+            liked = min(0.20, (feedback or {}).get(label, 0.0))
+            raw = liked + 0.30 * hit(t) + 0.20 * hit(p) + 0.35 * cover + 0.15 * overlap
             out.append(F.struct(F.lit(label).alias("label"), raw.alias("raw"), F.lit(priority).alias("priority")))
         return F.array(*out)
 
@@ -147,7 +148,7 @@ def match_score(doc: dict[str, Column], row: dict[str, Column]) -> Column:
     return out
 
 
-__all__ = ["allowed_value", "best_label", "constrain", "contains_phrase", "countries", "decide", "field_scores", "match_score", "tag", "votes"]
+__all__ = ["allowed_value", "best_label", "constrain", "contains_phrase", "countries", "decide", "field_scores", "match_score", "tag", "tag_requests", "votes"]
 
 
 def provenance(sources: Column) -> Column:
@@ -193,3 +194,60 @@ def sub_units(text: Column, units: list[str], scope: dict[str, tuple[str, ...]],
         return out
 
     return let(norm(text), run)
+
+
+def canonical_label(field: str, label: Column) -> Column:
+    """The taxonomy's label of a field that a label or alias stands for, null if there is none."""
+    names = {}
+    for f, name, aliases, _, _ in V.TAXONOMY:
+        if f == field:
+            for a in (name, *aliases):
+                names.setdefault(" ".join(a.lower().split()), name)
+    return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), norm(label))
+
+
+def tag_requests(docs: DataFrame, text: str, path: str, explicit: dict[str, str], derived: dict[str, str], allowed: dict[str, DataFrame] | None = None, feedback: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """The whole tagger: docs with a struct (label, score, source, review) for each field, the dimensions and `tagging_status`.
+
+    A field's label is, in this order, the explicit metadata label (0.99, or 0.97 if the taxonomy doesn't know it), the
+    derived one (0.86, 0.78), or the best-scored one; under the threshold it is kept for review, or without a signal
+    replaced by the default.  allowed(value) of a field then constrains it (see allowed_value): a forced value is reviewed.
+    Category and department give way to the record category and the business unit of the text, where these are told.
+    Documents with too little text and no metadata are unclassified.  explicit and derived name columns by field; feedback
+    gives labels by field up to 0.20 more."""
+    out = docs
+    has_metadata = _any([norm(F.col(c)) != "" for c in (*explicit.values(), *derived.values())])
+    out = out.withColumn("__little", too_little([F.col(text)], F.coalesce(has_metadata, F.lit(False))))
+    for field, default in V.TAXONOMY_DEFAULTS.items():
+        found = F.struct(F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("score"), F.lit("").alias("source"))
+        told = []
+        for columns, known, raw, source in ((explicit, 0.99, 0.97, "metadata_explicit"), (derived, 0.86, 0.78, "metadata_derived")):
+            if field in columns:
+                c = F.col(columns[field])
+                label = canonical_label(field, c)
+                told.append(F.when(norm(c) != "", F.struct(F.coalesce(label, F.trim(c)).alias("label"), F.when(label.isNotNull(), known).otherwise(raw).alias("score"), F.lit(source).alias("source"))))
+        scored = let(best_label(field_scores(F.col(text), F.col(path), field, (feedback or {}).get(field))), lambda b: F.struct(b["label"].alias("label"), b["score"].alias("score"), F.lit("model").alias("source")))
+        found = F.coalesce(*told, scored)
+
+        def settle(x: Column) -> Column:
+            low = x["score"] < THRESHOLD
+            weak = low & (x["score"] <= 0.10)
+            return F.struct(F.when(weak, default).otherwise(x["label"]).alias("label"), F.when(weak, 0.35).otherwise(x["score"]).alias("score"), F.when(weak, "deterministic_default").otherwise(x["source"]).alias("source"), low.alias("review"))
+
+        out = out.withColumn(field, let(found, settle))
+        if allowed and field in allowed:
+            modes = allowed_value(out.select(F.col(f"{field}.label").alias("__l")), allowed[field], "__l")
+            out = out.withColumn("__l", F.col(f"{field}.label")).join(modes, "__l", "left")
+            bound = constrain(F.col(f"{field}.score"), F.col("mode"))
+            new = F.struct(F.coalesce("value", F.col(f"{field}.label")).alias("label"), bound["score"].alias("score"), F.concat(F.col(f"{field}.source"), F.lit("/"), bound["source"]).alias("source"), (F.col(f"{field}.review") | bound["forced"]).alias("review"))
+            out = out.withColumn(field, new).drop("__l", "value", "mode")
+    code = votes(F.col(text), V.RECORD_TYPES, "")
+    out = out.withColumns({"record_type": code, "business_unit": votes(F.col(text), V.BUSINESS_UNITS, "GECC HQ", by_length=True), "countries": countries(F.col(text))})
+    out = out.withColumn("record_category", record_category(F.col("record_type")))
+    fields = list(V.TAXONOMY_DEFAULTS)
+    little = F.col("__little")
+    review = _any([F.col(f"{f}.review") for f in fields])
+    final = {"category": F.when(F.col("record_category") != "", F.col("record_category")).otherwise(F.col("category.label")), "department": F.col("business_unit"), "purpose": F.col("purpose.label")}
+    mean = sum((F.col(f"{f}.score") for f in fields), F.lit(0.0)) / len(fields)
+    out = out.withColumns({f"final_{f}": F.when(little, "Unclassified").otherwise(c) for f, c in final.items()} | {"review_required": little | review, "tagging_status": F.when(little, "insufficient_content").when(review, "needs_review").otherwise("tagged"), "overall": F.when(little, 0.0).otherwise(mean)})
+    return out.drop("__little")

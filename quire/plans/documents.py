@@ -183,7 +183,7 @@ def taxonomy_labels(spark, d):
     return out.select("doc_id", *[F.col(f"{f}.label").alias(f) for f in fields], *[F.col(f"{f}.review").alias(f"{f}_review") for f in fields], F.round("tag_confidence", 4).alias("tag_confidence"), "needs_review")
 
 
-def _taxonomy_sql() -> str:
+def _taxonomy_sql(weak: bool = False) -> str:
     rows = []
     for f, label, aliases, keywords, priority in V.TAXONOMY:
         names = [label.lower(), *aliases]
@@ -201,12 +201,25 @@ with x as (select doc_id, trim(regexp_replace(lower(translate({_HINT_SQL}, '_\\/
 s as ({' union all '.join(rows)}),
 r as (select *, row_number() over w as k, lead(raw) over w as second from s window w as (partition by doc_id, f order by raw desc, pr desc, lower(label))),
 b as (select doc_id, f, label, greatest(0, least(least(case when raw - second < 0.05 and raw < 0.30 then least(raw, 0.15) else raw end, 1.2) / 2.0, 0.99)) as score from r where k = 1),
-c as (select doc_id, f, case when score < 0.75 and score <= 0.10 then case f {default} end else label end as label, case when score < 0.75 and score <= 0.10 then 0.35 else score end as score, score < 0.75 as review from b)
-select doc_id, {', '.join(f"{pick(f, 'label')} as {f}" for f in fields)}, {', '.join(f"bool_or(review) filter (where f = '{f}') as {f}_review" for f in fields)},
+c as (select doc_id, f, case when score < 0.75 and score <= 0.10 then case f {default} end else label end as label, case when score < 0.75 and score <= 0.10 then 0.35 else score end as score, score < 0.75 as review, score < 0.75 and score <= 0.10 as weak from b)
+select doc_id, {"bool_or(weak) filter (where f = 'category') as weak_category, bool_or(weak) filter (where f = 'purpose') as weak_purpose, " if weak else ""}{', '.join(f"{pick(f, 'label')} as {f}" for f in fields)}, {', '.join(f"bool_or(review) filter (where f = '{f}') as {f}_review" for f in fields)},
   round(({' + '.join(f"{pick(f, 'score')}" for f in fields)}) / 3, 4) as tag_confidence, bool_and(review) as needs_review from c group by doc_id
 """
 
 
+CATEGORY = "Invoice"  # the only category that the query's registry allows
+
+
+def tag_requests(spark, d):
+    """The whole tagger over every document; a quarter has an explicit label, a quarter one that the taxonomy doesn't know, a
+    quarter a derived purpose."""
+    k = F.col("doc_id") % 4
+    rows = table(spark, d, "documents").select("doc_id", "text", _hinted().alias("t"), F.col("source").alias("p"), F.when(k == 0, F.lower(F.lit(CATEGORY))).when(k == 1, " Own label ").alias("m_category"), F.when(k == 2, "Odd purpose").alias("m_purpose"))
+    allowed = {"category": spark.createDataFrame([(CATEGORY,)], "value string")}
+    out = tagging.tag_requests(rows, "t", "p", {"category": "m_category"}, {"purpose": "m_purpose"}, allowed)
+    return out.select("doc_id", "final_category", "final_department", "final_purpose", F.col("category.source").alias("category_source"), F.col("purpose.source").alias("purpose_source"), F.col("department.label").alias("department_label"), "review_required", "tagging_status", "countries")
+
+
 def money_and_dates(spark, d):
     t = F.concat_ws(" ", F.lit("Paid USD 1,200.50 and $ 7 on 2024-01-31, 3/4/21 or Jan 5, 2020."), F.col("text"))
     all_of = lambda p: F.array_join(F.slice(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(0))), 1, 5), "|")
@@ -302,7 +315,7 @@ def page_shares(spark, d):
     return li.select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 
 
-QUERIES = {f.__name__: f for f in (dedup_content_hash, dedup_file_hash_registry, duplicates_by_source, size_category_rollup, truncate_content, token_stats, ocr_corrections, ocr_correction_counts, html_accuracy, text_accuracy, url_paths, ocr_routing, confidentiality, record_type_votes, country_votes, taxonomy_labels, money_and_dates, smart_ids, allowed_values, metadata_row_match, entity_cleanup, entity_lists, tag_details, registry_casing, enhancement, page_shares)}
+QUERIES = {f.__name__: f for f in (dedup_content_hash, dedup_file_hash_registry, duplicates_by_source, size_category_rollup, truncate_content, token_stats, ocr_corrections, ocr_correction_counts, html_accuracy, text_accuracy, url_paths, ocr_routing, confidentiality, record_type_votes, country_votes, taxonomy_labels, tag_requests, money_and_dates, smart_ids, allowed_values, metadata_row_match, entity_cleanup, entity_lists, tag_details, registry_casing, enhancement, page_shares)}
 
 _DUP = f"select doc_id, source, {HASH} as content_hash from documents"
 SQL = {
@@ -359,3 +372,16 @@ parts as (select p_partkey, i, lower(trim(([lower(p_type), 'unknown', upper(p_br
 select p_partkey, coalesce(string_agg(v, ', ' order by i), '') as labels from parts left join known using (k) group by p_partkey"""
 SQL["enhancement"] = "with x as (select l_orderkey, l_linenumber, l_quantity * 5 as b, l_quantity + l_linenumber * 5 as c, l_partkey % 300 as s, case when l_linenumber = 1 then l_discount * 10 end as q from lineitem) select l_orderkey, l_linenumber, case when q is not null then case when q < 0.3::double then 'EXTREME_RESTORE' when q < 0.5::double then 'AGGRESSIVE' when q < 0.7::double then 'BALANCED' else 'LIGHT' end when c < 25 then 'EXTREME_RESTORE' when c < 40 or s < 80 then 'AGGRESSIVE' when s < 150 then 'BALANCED' when b < 60 or b > 200 then 'AGGRESSIVE' when b < 100 or b > 160 then 'BALANCED' else 'LIGHT' end as mode, case when b < 80 then 0.85 when b > 180 then 1.15 else 1.0 end::double as gamma from x"
 SQL["page_shares"] = "with x as (select l_orderkey, l_linenumber, case when l_linenumber > 1 then l_quantity else 0 end::double as c, case when l_linenumber > 2 then l_discount * 100 else 0 end::double as n from lineitem) select l_orderkey, l_linenumber, case when c + n > 0 then c * 100 / (c + n) else 0 end as clean, case when c + n > 0 then n * 100 / (c + n) else 0 end as noise, case when c + n > 0 then 0 else 100 end::double as whitespace from x"
+SQL["tag_requests"] = f"""
+with base as ({_taxonomy_sql().strip()}), v as ({VOTES_SQL.strip()}), c as ({COUNTRY_SQL.strip()}), x as (select doc_id, length(trim({_HINT_SQL})) < 50 and doc_id % 4 = 3 as little from documents),
+j as (select base.doc_id, little, v.record_category, v.business_unit, c.countries, department, department_review, base.doc_id % 4 as k, base.category, base.purpose, category_review, purpose_review, base.category in (select label from (values {", ".join(f"('{r[1]}')" for r in V.TAXONOMY if r[0] == "category")}) t(label)) as is_label,
+  case base.doc_id % 4 when 0 then '{CATEGORY}' when 1 then 'Own label' else base.category end as cat from base join v using (doc_id) join c using (doc_id) join x using (doc_id)),
+m as (select *, list_distinct(regexp_extract_all(lower(cat), '[a-z0-9]{{2,}}')) as w, list_distinct(regexp_extract_all(lower('{CATEGORY}'), '[a-z0-9]{{2,}}')) as cw from j),
+n as (select *, case when lower(cat) = lower('{CATEGORY}') then 'pass' when length(cat) >= 4 and (contains(lower('{CATEGORY}'), lower(cat)) or contains(lower(cat), lower('{CATEGORY}'))) or len(list_intersect(w, cw)) > 0 then 'forced' else 'no_match' end as how from m)
+select doc_id, case when little then 'Unclassified' when record_category <> '' then record_category when how = 'no_match' then cat else '{CATEGORY}' end as final_category,
+  case when little then 'Unclassified' else business_unit end as final_department, case when little then 'Unclassified' when k = 2 then 'Odd purpose' else purpose end as final_purpose,
+  s.source || '/' || how as category_source, case when k = 2 then 'metadata_derived' else s.purpose_source end as purpose_source, department as department_label,
+  little or how = 'forced' or (k > 1 and category_review) or (k <> 2 and purpose_review) or department_review as review_required,
+  case when little then 'insufficient_content' when how = 'forced' or (k > 1 and category_review) or (k <> 2 and purpose_review) or department_review then 'needs_review' else 'tagged' end as tagging_status, countries
+from n join (select doc_id, case when doc_id % 4 < 2 then 'metadata_explicit' when weak_category then 'deterministic_default' else 'model' end as source, case when weak_purpose then 'deterministic_default' else 'model' end as purpose_source from ({_taxonomy_sql(weak=True).strip()}) z) s using (doc_id)
+"""

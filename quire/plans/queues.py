@@ -140,11 +140,11 @@ def reconcile_metrics(spark, d):
 
 
 def streaming_status_counts(spark, d):
-    return jobs.run_once(jobs.status_counts(jobs.event_stream(spark, d)).select("event_type", "n"), "quire_status_counts")
+    return jobs.run_once(jobs.status_counts(jobs.event_stream(spark, d)).select("event_type", "n"))
 
 
 def streaming_window_counts(spark, d):
-    return jobs.run_once(jobs.window_counts(jobs.event_stream(spark, d), "1 day"), "quire_window_counts").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return jobs.run_once(jobs.window_counts(jobs.event_stream(spark, d), "1 day")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 QUERIES = {f.__name__: f for f in (stage_status_pivot, queue_status_counts, extraction_rollup, completion_stats, inflight_bytes, root_completions, failure_breakdown, claim_batch, stale_reset, retry_routing, largest_completed, live_feed, filter_events, latest_heartbeat, rate_limit_window, crash_window, state_merge_latest, upsert_latest, anti_join_zombies, insert_ignore, unchanged_files, backlog_eta, reconcile_metrics, streaming_status_counts, streaming_window_counts)}

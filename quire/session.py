@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -36,3 +37,13 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{package.name}/{f.relative_to(package)}")
     sc.addPyFile(str(target))
     sc._quire_shipped = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, below spark.checkpoint.dir; a temporary one of its own on a local master only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="quire-")
+    return f"{at.rstrip('/')}/quire-{uuid.uuid4().hex}"

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire.session import scratch
+
 
 def event_stream(spark: SparkSession, folder: str, file: str = "events.parquet", per_trigger: int = 100) -> DataFrame:
     """The event log as a stream of files; the schema comes from the table."""
@@ -61,11 +63,19 @@ def breaker(events: DataFrame, limit: int = 5, open_seconds: int = 60) -> DataFr
     return rows.toDF("worker", "at", "failed").groupBy("worker").applyInPandasWithState(step, "worker long, state string", "failures int, opened double", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, through the streaming engine, as a table in memory."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_once(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """All that is there now, through the streaming engine: each batch is written to the shared folder, and read back are the
+    last one of a complete result, or all of an appended or updated one."""
+    spark, at, written = df.sparkSession, scratch(df.sparkSession), []
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/batch-{epoch}")
+        written.append(f"{at}/batch-{epoch}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    paths = written[-1:] if mode == "complete" else written
+    return spark.read.schema(df.schema).parquet(*paths) if paths else spark.createDataFrame([], df.schema)
 
 
 def merge_batches(df: DataFrame, path: str, key: str, seq: str, checkpoint: str):

@@ -47,12 +47,12 @@ def test_breaker_opens(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "events.parquet"))
-    out = jobs.run_once(jobs.breaker(s), "quire_breaker", "update")
+    out = jobs.run_once(jobs.breaker(s), "update")
     assert {r["worker"]: r["state"] for r in out.collect()} == {7: "open", 8: "closed"}
 
 
 def test_first_seen(spark, sf_dir):
-    out = jobs.run_once(jobs.first_seen(jobs.event_stream(spark, sf_dir), "event_id"), "quire_first_seen", "append")
+    out = jobs.run_once(jobs.first_seen(jobs.event_stream(spark, sf_dir), "event_id"), "append")
     assert out.count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").distinct().count()
 
 
