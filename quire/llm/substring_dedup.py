@@ -13,8 +13,7 @@ Words are what white space parts; of scripts without spaces each character is a
 either (Thai, Lao, Khmer, Burmese), a space ends a sentence.
 
 The join deals packed (hash, id, place) values by hash; of a run that very many documents have, only the first occurrence
-in each batch goes to the run's partition.  The spans to remove are written; while they are few they are broadcast, so that
-texts don't move; beyond that both are joined by id."""
+in each batch goes to the run's partition.  Texts move once, with the spans to remove."""
 
 from __future__ import annotations
 
@@ -49,7 +48,6 @@ class SpanParams:
     min_sentences: int = 2
     min_words: int = 20
     enough_words: int = 40
-    broadcast_bytes: int = 32 << 20  # of spans up to which they are broadcast
 
 
 class _Powers:
@@ -199,8 +197,7 @@ def dedup_spans(docs: DataFrame, params: SpanParams = SpanParams(), doc_id: str
     keyed = rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     spans = _removals(spread(keyed), params, parts).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("spans").alias("__spans"))
     spans = materialise(spans, "spans")
-    size = spans.agg(F.sum(F.expr("aggregate(__spans, 64L, (a, x) -> a + octet_length(x))"))).first()[0] or 0
-    joined = spread(rows).join(F.broadcast(spans) if size <= params.broadcast_bytes else spans, F.col(doc_id).cast("long") == F.col("__id"), "left").drop("__id")
+    joined = rows.join(spans, F.col(doc_id).cast("long") == F.col("__id"), "left").drop("__id")
     at = rows.columns.index(text)
     kind = rows.schema
 

@@ -30,7 +30,7 @@ def test_last_sentences_of_a_passage_go(spark):
     assert got[3] == ([], 41)
 
 
-@pytest.mark.parametrize("p", [SpanParams(), SpanParams(3, 8, 25), SpanParams(broadcast_bytes=0)])
+@pytest.mark.parametrize("p", [SpanParams(), SpanParams(3, 8, 25)])
 def test_passages_equal_brute_force(spark, p):
     rows = passages()
     assert cut(spark, rows, p) == brute.without_spans(rows, p)
