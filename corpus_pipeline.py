@@ -16,17 +16,27 @@ from quire.llm.common import materialise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null and empty texts have no word, so they go; repeated rows are judged each; very long texts are judged whole; ties don't
+    occur; an empty table stays empty; extra columns of any name stay."""
     return quality.quality_filter(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays."""
+    """Of each group of near duplicates, the document with the smallest id stays.
+
+    Rows with null or empty text or without an id stay; repeated rows of the smallest id stay all; very long texts are
+    compared whole; an empty table stays empty; extra columns of any name stay."""
     return jaccard_join.near_duplicates_removed(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier place has are cut out of the texts; no document goes. n_chars follows the text."""
+    """Passages that an earlier place has are cut out of the texts; no document goes. n_chars follows the text.
+
+    Null and empty texts and rows without an id stay as they are; rows of one id are one document; of places in one document
+    the first is the earlier; very long texts are searched whole; an empty table stays empty; an extra column n_removed is
+    lost, others stay."""
     out = substring_dedup.dedup_spans(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -34,12 +44,18 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go.
+
+    Rows with null or empty text or without an id stay; rows of one id go together; very long texts are searched whole; an
+    empty benchmark or table changes nothing; extra columns of any name stay."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences.
+
+    Null and empty texts are one piece of the end id; repeated rows and null ids are packed each; very long texts are cut into
+    as many pieces as they need; an empty table gives no piece; extra columns don't matter."""
     return packing.pack(docs)
 
 
