@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, lifecycle, queues, reports
+from quire.plans import documents, lifecycle, queues, reports, routes
 
-_MODULES = (documents, lifecycle, queues, reports)
+_MODULES = (documents, lifecycle, queues, reports, routes)
 
 
 def queries() -> dict:
