@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from quire.functions import values as V
 from quire.functions.analysis import has_phrase, search_tokens
 from quire.functions.text import let
-from quire.operators.search import minimum_should_match
+from quire.operators.search import minimum_should_match, page_of, parse, phrase_search
 
 CONTENT = ("main_content", "embedded_content", "ocr_content")
 TAGS = ("category", "department", "purpose", "dynamic_subtags", "key_names", "location_mentioned", "important_dates", "confidentiality")
@@ -182,3 +182,22 @@ def fragments(c: Column, terms: list[str], size: int, most: int) -> Column:
     counted = F.transform(pieces, lambda p, i: F.struct((-F.regexp_count(p, F.lit(pattern))).alias("n"), i.alias("i"), p.alias("p")))
     best = F.slice(F.array_sort(F.filter(counted, lambda x: x["n"] < 0)), 1, most)
     return F.transform(best, lambda x: F.regexp_replace(x["p"], pattern, "<mark>$1</mark>"))
+
+
+def find(docs: DataFrame, q: str, boosts: dict[str, float], key: str = "id", filters: dict | None = None, exact: bool = False, strict: bool = True, page: int = 1, size: int = 10) -> DataFrame:
+    """The router: a page of the scored rows of the route that the query tells (see parse), best first, equals by key.
+    `strict` takes the dashboard's slash commands, else the service's.  A query without words finds nothing."""
+    parsed = parse(q, exact)
+    for c, v in (filters or {}).items():
+        docs = docs.where(F.col(c).isin(*v) if isinstance(v, list | tuple) else F.col(c) == v)
+    if parsed.mode == "slash":
+        rows = (strict_slash if strict else slash)(docs, parsed.slash, parsed.value)
+    elif parsed.mode == "phrase":
+        rows = phrase_search(docs, boosts, parsed.value) if parsed.terms else docs.withColumn("score", F.lit(0.0)).where(F.lit(False))
+    elif parsed.mode == "numeric":
+        rows = numeric(docs, parsed.value, boosts)
+    elif parsed.mode == "path":
+        rows = path(docs, parsed.value, boosts)
+    else:
+        rows = accurate(docs, parsed.value, boosts)
+    return page_of(rows, [F.col("score").desc(), F.col(key)], page, size)

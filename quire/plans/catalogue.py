@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, lifecycle, queues, reports, routes
+from quire.plans import documents, lifecycle, queues, reports, routes, runs
 
-_MODULES = (documents, lifecycle, queues, reports, routes)
+_MODULES = (documents, lifecycle, queues, reports, routes, runs)
 
 
 def queries() -> dict:
