@@ -1,8 +1,8 @@
-"""The queries op1 to op10 and pipeline, and their DuckDB oracles."""
+"""The queries op1 to op13 and pipeline, and their DuckDB oracles."""
 
 from __future__ import annotations
 
-from quire.llm import chat_format, decontaminate, html_text, jaccard_join, langid, packing, quality, substring_dedup, token_counts, url_filter
+from quire.llm import chat_format, decontaminate, filter_audit, html_text, importance, jaccard_join, langid, packing, pattern_packing, quality, substring_dedup, token_counts, url_filter
 
 
 def _pipeline(spark, sf_dir: str):
@@ -23,9 +23,13 @@ def queries() -> dict:
         "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_pattern_packing": pattern_packing.op12_pattern_packing,
+        "op13_importance": importance.op13_importance,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.SQL, "op2_quality_rules": quality.SQL, "op6_chat_preference": chat_format.SQL}
+    own = {"op1_url_filters": url_filter, "op2_quality_rules": quality, "op6_chat_preference": chat_format, "op11_filter_audit": filter_audit, "op13_importance": importance}
+    return {name: module.SQL for name, module in own.items()}
