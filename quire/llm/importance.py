@@ -47,7 +47,13 @@ def _features(df: DataFrame, params: ImportanceParams) -> DataFrame:
         grams = df.select(*rest, F.explode_outer(words).alias("gram")).withColumn("one", F.lit(1))
     else:
         held = df.select(*rest, F.filter(words, lambda w: w != "").alias("w"))
-        runs = F.flatten(F.array(*(F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.struct(F.array_join(F.slice("w", i, n), " ").alias("gram"), F.lit(int(n == 1)).alias("one")))).otherwise(F.array()) for n in range(1, params.longest + 1))))
+
+        def runs_of(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.size("w") - n + 1)
+            return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("gram"), F.lit(int(n == 1)).alias("one"))))
+
+        none = F.array().cast("array<struct<gram: string, one: int>>")
+        runs = F.flatten(F.array(*(F.coalesce(runs_of(n), none) for n in range(1, params.longest + 1))))
         grams = held.select(*rest, F.explode_outer(runs).alias("g")).select(*rest, "g.gram", "g.one")
     bucket = F.when(F.col("gram") != "", (F.crc32(_lowered(F.col("gram")).cast("binary")) % params.buckets).cast("int"))
     return grams.select(*rest, bucket.alias("bucket"), "one")
