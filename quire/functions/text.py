@@ -46,26 +46,6 @@ def spaced(phrase: str) -> str:
     return "".join(c if c.isalnum() or c in "_ " else f" {c} " for c in " ".join(phrase.lower().split()))
 
 
-class Phrases:
-    """Whether a normalised text holds any of many phrases between word edges, without a pattern for each.
-
-    The text's words and other characters are set apart once; which of the phrases' first words it has is one array
-    intersection, and only a phrase whose first word is there is searched for."""
-
-    def __init__(self, phrases: list[str]):
-        self.first = sorted({spaced(p).split()[0] for p in phrases if p.strip()})
-
-    def prepare(self, t: Column) -> Column:
-        """struct(text, words) of a normalised text."""
-        apart = F.concat(F.lit(" "), F.regexp_replace(t, r"([^\p{L}\p{N}_ ])", " $1 "), F.lit(" "))
-        return let(apart, lambda a: F.struct(a.alias("text"), F.array_intersect(F.split(a, " +"), F.array(*[F.lit(w) for w in self.first])).alias("words")))
-
-    @staticmethod
-    def has(x: Column, phrase: str) -> Column:
-        s = spaced(phrase)
-        return F.array_contains(x["words"], s.split()[0]) & F.contains(x["text"], F.lit(f" {s} "))
-
-
 def holds(t: Column, phrase: str) -> Column:
     """Whether a normalised text holds the phrase between word edges; the plain search spares most texts the pattern."""
     return F.contains(t, F.lit(" ".join(phrase.lower().split()))) & t.rlike(phrase_pattern(phrase))
@@ -101,7 +81,7 @@ def truncate(c: Column, most: int) -> Column:
 
 def split_values(c: Column, separators: str = ",;|") -> Column:
     """Trimmed non-empty parts."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), f"[{separators}]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), f"[{separators}]"), lambda x: F.trim(x)), lambda x: x != "")  # trim alone would take the place for characters
 
 
 Rule = tuple[str, str, str, str]

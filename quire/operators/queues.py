@@ -44,10 +44,18 @@ def missing(files: DataFrame, *queues: DataFrame, key: str = "id") -> DataFrame:
 
 
 def sliding_count(events: DataFrame, key: str, ts: str, seconds: int, name: str, condition: Column | None = None) -> DataFrame:
-    """Events of the same key in the last `seconds` seconds, the event included."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn(name, F.sum(F.when(F.lit(True) if condition is None else condition, 1).otherwise(0)).over(w))
+    """Events of the same key in the last `seconds` seconds, the event included; equal times count together.
+
+    Time is cut into slices as long as the window, so an event's window lies in its own slice and the one before.  Each event
+    is dealt to both slices that need it, by (key, slice): no task sorts more of a key than two windows' length, and a key
+    that has all events is counted by as many tasks as it has slices.  Rows of a key without a time count together."""
+    n = seconds * 1_000_000
+    at, part, value = F.unix_micros(F.col(ts).cast("timestamp")), F.col("__part"), F.when(F.lit(True) if condition is None else condition, 1).otherwise(0)
+    slice_ = F.floor(at / F.lit(n)).cast("long")
+    dealt = events.withColumns({"__at": at, "__n": value, "__here": slice_}).withColumn("__part", F.explode(F.when(slice_.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(slice_, slice_ + 1))))
+    w = Window.partitionBy(key, part).orderBy("__at").rangeBetween(-n, 0)
+    counted = dealt.withColumn(name, F.sum("__n").over(w)).where(F.col("__here").eqNullSafe(part))
+    return counted.drop("__at", "__n", "__here", "__part")
 
 
 def eta(stats: DataFrame, remaining: str, seconds: str, workers: str, default: float) -> Column:

@@ -38,6 +38,27 @@ def merge_events(events: DataFrame, key: str, seq: str, rules: Rules, stage: str
     return events.groupBy(key).agg(*aggs)
 
 
+def as_state(events: DataFrame, key: str, seq: str, rules: Rules, stage: str = "stage") -> DataFrame:
+    """events as rows of an unfinished state: for each column a struct (s, v) of sequence and value, null where the event says
+    nothing of it."""
+
+    def told(c: str, counts: Column) -> Column:
+        return F.when(counts, F.struct(F.col(seq).alias("s"), F.col(c).alias("v"))).alias(c)
+
+    out = [told(c, ~blank(F.col(c))) for c in rules.keep] + [told(c, F.col(c) > 0) for c in rules.positive] + [told(c, F.lit(True)) for c in rules.always]
+    return events.select(key, *out, *[told(c, ~blank(F.col(c)) | (F.col(stage) == rules.owner)) for c in rules.stage])
+
+
+def merge_states(rows: DataFrame, key: str) -> DataFrame:
+    """One unfinished state a key, whatever the order in which its rows came; merging merged rows again changes nothing."""
+    return rows.groupBy(key).agg(*[F.max(c).alias(c) for c in rows.columns if c != key])
+
+
+def finished(rows: DataFrame, key: str) -> DataFrame:
+    """The values of unfinished states."""
+    return rows.select(key, *[F.col(f"{c}.v").alias(c) for c in rows.columns if c != key])
+
+
 def sanitise(state: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """Blank required columns take their defaults."""
     return state.withColumns({c: F.when(blank(F.col(c)), F.lit(v)).otherwise(F.col(c)) for c, v in defaults.items()})

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import values as V
-from quire.functions.text import Phrases, contains_phrase, holds, let, norm, record_category, tokens
+from quire.functions.automaton import Phrases
+from quire.functions.text import contains_phrase, holds, let, norm, record_category, tokens
 
 MOST_RAW, DEGRADED_CAP, THRESHOLD = 2.0, 1.20, 0.75
 
@@ -116,7 +117,7 @@ def countries(text: Column) -> Column:
         each = F.filter(F.array(*[F.struct((-_count(c)).alias("n"), F.lit(iso).alias("iso")) for iso, c in points.items()]), lambda x: x["n"] < 0)
         return let(F.slice(F.array_sort(each), F.lit(1), F.lit(3)), lambda top: F.when(F.size(top) == 0, "USA").otherwise(F.array_join(F.transform(F.filter(top, lambda x: x["n"] * 2 <= F.get(top, F.lit(0))["n"]), lambda x: x["iso"]), ", ")))
 
-    return let(norm(text), lambda t: let(F.struct(t.alias("t"), phrases.prepare(t).alias("p")), run))
+    return let(F.struct(norm(text).alias("t"), phrases.prepare(norm(text)).alias("p")), run)
 
 
 def allowed_value(candidates: DataFrame, allowed: DataFrame, column: str) -> DataFrame:
@@ -160,8 +161,9 @@ def provenance(sources: Column) -> Column:
 def subtags(text: Column, limit: int = 15) -> Column:
     """Taxonomy aliases and keywords of three letters or more that the text holds, sorted, at most `limit`."""
     words = sorted({w for _, label, aliases, keywords, _ in V.TAXONOMY for w in (label.lower(), *aliases, *keywords) if len(w) >= 3})
+    phrases = Phrases(words)
     plain = norm(F.translate(F.coalesce(text, F.lit("")), "_\\/", "   "))
-    return let(plain, lambda t: F.slice(F.filter(F.array(*[F.when(holds(t, w), w) for w in words]), lambda w: w.isNotNull()), F.lit(1), F.lit(limit)))
+    return let(phrases.prepare(plain), lambda x: F.slice(F.filter(F.array(*[F.when(phrases.has(x, w), w) for w in words]), lambda w: w.isNotNull()), F.lit(1), F.lit(limit)))
 
 
 def too_little(contents: list[Column], has_metadata: Column, least: int = 50) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, lifecycle, queues, reports, routes, runs
+from quire.plans import building, documents, keyed, lifecycle, queues, reports, routes, runs, search
 
-_MODULES = (documents, lifecycle, queues, reports, routes, runs)
+_MODULES = (building, documents, keyed, lifecycle, queues, reports, routes, runs, search)
 
 
 def queries() -> dict:

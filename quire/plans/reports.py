@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from quire.functions import accuracy as A
 from quire.functions import analysis
 from quire.functions.text import format_size, seconds_to_human, snippet
-from quire.operators import ocr, review, search, vectors
+from quire.operators import ocr, review, search, vectorindex, vectors
+from quire.session import scratch
 from quire.sources.tables import registry, table
 
-TERMS = ("the", "with", "und", "contract", "der")
-PHRASE = "of the"
 
 
 def facet_terms(spark, d):
@@ -116,19 +115,6 @@ def allowed_registry(spark, d):
     return registry(table(spark, d, "part"), {"p_brand": "business_unit_name", "p_type": "record_type"})
 
 
-def phrase_search(spark, d):
-    return search.phrase_search(table(spark, d, "documents").select("doc_id", "text", "source"), {"text": 2.0, "source": 5.0}, PHRASE).select("doc_id", "score")
-
-
-def minimum_should_match(spark, d):
-    return search.term_search(table(spark, d, "documents"), "text", TERMS, 0.5).select("doc_id", "matched")
-
-
-def bm25_topk(spark, d):
-    out = search.bm25(table(spark, d, "documents"), "doc_id", "text", ("with", "und", "thand"))
-    return out.orderBy(F.col("score").desc(), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
-
-
 def dis_max_rank(spark, d):
     p = table(spark, d, "part")
     s = [F.when(F.col("p_type").contains("BRASS"), 5.0).otherwise(0.0), F.when(F.col("p_brand").endswith("1"), 3.0).otherwise(0.0), F.when(F.col("p_size") > 25, 1.0).otherwise(0.0)]
@@ -160,9 +146,21 @@ def analyzer_stem_tokens(spark, d):
     return analysis.stems(words)
 
 
-def cosine_matches(spark, d):
+def _vectors(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return vectors.best_matches(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector"), 5).select("query_id", "vec_id")
+    return e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+
+
+def cosine_matches(spark, d):
+    base, asked = _vectors(spark, d)
+    index = vectorindex.build(base, scratch(spark))
+    return vectorindex.search(index, asked, 5, exact=True, scratch=scratch(spark)).select("query_id", "vec_id")
+
+
+def near_vectors(spark, d):
+    """Approximate: the nearest cells only; tests measure its recall."""
+    base, asked = _vectors(spark, d)
+    return vectorindex.search(vectorindex.build(base, scratch(spark)), asked, 5).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 def vector_norms(spark, d):
@@ -212,26 +210,24 @@ def current_reviews(spark, d):
     return review.current_reviews(e)
 
 
-def search_router(spark, d):
-    return search.search(table(spark, d, "documents"), "with their", size=25).select("doc_id")
-
-
-QUERIES = {f.__name__: f for f in (facet_terms, facet_union, value_counts_share, fill_rates, accuracy_summary, accuracy_tiers, accuracy_by_group, gain_impact, bottom10, loss_reason_rollup, weighted_doc_accuracy, approval_status, feedback_weights, review_queue_page, size_labels, snippets, page_boxes, bloom_sizing, allowed_registry, phrase_search, minimum_should_match, bm25_topk, dis_max_rank, decay_rank, fuzzy_terms, synonym_counts, name_prefixes, analyzer_stem_tokens, cosine_matches, vector_norms, tier_scores, highlights, best_attempts, joined_pages, snippet_policy, snippet_artefacts, cancelled_actions, current_reviews, search_router)}
+QUERIES = {f.__name__: f for f in (facet_terms, facet_union, value_counts_share, fill_rates, accuracy_summary, accuracy_tiers, accuracy_by_group, gain_impact, bottom10, loss_reason_rollup, weighted_doc_accuracy, approval_status, feedback_weights, review_queue_page, size_labels, snippets, page_boxes, bloom_sizing, allowed_registry, dis_max_rank, decay_rank, fuzzy_terms, synonym_counts, name_prefixes, analyzer_stem_tokens, cosine_matches, near_vectors, vector_norms, tier_scores, highlights, best_attempts, joined_pages, snippet_policy, snippet_artefacts, cancelled_actions, current_reviews)}
 
 _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _P = "(select conv_id as doc_id, turn as page, (length(text) % 40 + 60)::double as base, (length(text) % 100)::double as weight from conversations)"
 _R = "(select conv_id as doc_id, turn as page, case length(text) % 3 when 0 then 'accepted' when 1 then 'pending' else 'rejected' end as status, case when length(text) % 5 = 0 then 'logo' else 'text' end as snippet_type, (length(text) % 7)::double as impact from conversations where length(text) % 2 = 0)"
 
 
-def _bm25_sql(terms: tuple[str, ...]) -> str:
-    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as tf{i}" for i, t in enumerate(terms))
-    score = " + ".join(f"ln(1 + (docs - d{i} + 0.5) / (d{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(len(terms)))
-    return f"""with c as (select doc_id, len(w) as n, {tf} from (select doc_id, {_T} as w from documents) x), f as (select count(*)::double as docs, avg(n) as mean, {', '.join(f'count(*) filter (where tf{i} > 0) as d{i}' for i in range(len(terms)))} from c)
-select doc_id, {score} as score, {' + '.join(f'(tf{i} > 0)::int' for i in range(len(terms)))} as matched from c, f where {' + '.join(f'tf{i}' for i in range(len(terms)))} > 0"""
-
-
 _SIZE = "case when n_chars * 2000 + 1 < 1024 then printf('%.2f B', (n_chars * 2000 + 1)::double) when n_chars * 2000 + 1 < 1048576 then printf('%.2f KB', (n_chars * 2000 + 1) / 1024) else printf('%.2f MB', (n_chars * 2000 + 1) / 1048576) end"
+# "of the" in five tiers; its confusable forms are ofthe and 0f the.
+_TIERS = r"""
+with x as (select doc_id, source, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as t, regexp_extract_all(lower(coalesce(source, '')), '[\p{L}\p{N}]+') as s, regexp_extract_all(lower(coalesce(lang, '')), '[\p{L}\p{N}]+') as l from documents),
+y as (select *, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) > 0 as pt, len(list_filter(range(1, len(s)), lambda i: s[i] = 'of' and s[i + 1] = 'the')) > 0 as ps, len(list_filter(range(1, len(l)), lambda i: l[i] = 'of' and l[i + 1] = 'the')) > 0 as pl,
+  len(list_filter(range(1, len(t)), lambda i: t[i] = '0f' and t[i + 1] = 'the')) > 0 as pz, t || s || l as a from x)
+select doc_id, ((lower(coalesce(source, '')) = 'of the')::int * 100 + ps::int * 80 + pl::int * 60 + pt::int * 100 + (list_contains(a, 'of') and list_contains(a, 'the'))::int * 35 + list_has_any(a, ['of', 'the'])::int * 20
+  + (list_contains(a, 'of') or len(list_filter(a, lambda w: w[:3] = 'the' and length(w) <= 4)) > 0)::int * 10 + list_contains(t, 'ofthe')::int * 15 + pz::int * 15)::double as score from y"""
+
 SQL = {
+    "tier_scores": _TIERS,
     "facet_terms": "select source, count(*) as n from documents group by 1 order by 1 limit 100",
     "facet_union": "select distinct value from (select trim(source) as value from documents union all select trim(lang) from documents) x where value <> ''",
     "value_counts_share": "select case when trim(coalesce(lang, '')) = '' then '(blank)' else lang end as value, count(*) as n, count(*) / sum(count(*)) over () * 100 as percent from documents group by 1",
@@ -251,9 +247,6 @@ SQL = {
     "page_boxes": "select l_orderkey, l_linenumber, i / ((40 * 55) + 2500 - i) as iou from (select l_orderkey, l_linenumber, greatest(least(l_quantity + 40, 60) - greatest(l_quantity, 10), 0) * greatest(least(l_quantity + 60, 60) - greatest(l_quantity + 5, 10), 0) as i from lineitem) x",
     "bloom_sizing": "select r_regionkey, trunc(-(n * ln(0.001)) / (ln(2) * ln(2)))::bigint as bits, trunc(trunc(-(n * ln(0.001)) / (ln(2) * ln(2))) / n * ln(2))::int as hashes from (select r_regionkey, pow(10.0, r_regionkey + 4) as n from region) x",
     "allowed_registry": "select distinct 'business_unit_name' as field, p_brand as value from part union select distinct 'record_type', p_type from part",
-    "phrase_search": rf"select doc_id, 2.0::double as score from documents where regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}])of[^\p{{L}}\p{{N}}]+the($|[^\p{{L}}\p{{N}}])')",
-    "minimum_should_match": f"select doc_id, m as matched from (select doc_id, {' + '.join(f'''list_contains({_T}, '{t}')::int''' for t in TERMS)} as m from documents) x where m >= 2",
-    "bm25_topk": f"select doc_id, round(score, 6) as score from ({_bm25_sql(('with', 'und', 'thand'))}) x order by x.score desc, doc_id limit 50",
     "dis_max_rank": "select p_partkey, (m + 0.1 * (a + b + c - m))::double as score from (select *, greatest(a, b, c) as m from (select p_partkey, case when contains(p_type, 'BRASS') then 5.0 else 0 end as a, case when ends_with(p_brand, '1') then 3.0 else 0 end as b, case when p_size > 25 then 1.0 else 0 end as c from part) x) y",
     "decay_rank": "select event_id, round(exp(-pow(greatest(date_diff('day', ts::date, date '1998-12-31') - 7.0, 0), 2) / (2 * (-(90.0 * 90.0) / (2 * ln(0.5))))) * 1.2 + case when value >= 80 then 1.3 else 0 end + case when value >= 0 and value < 50 then 0.8 else 0 end, 9) as score from events",
     "fuzzy_terms": f"with t as (select distinct unnest({_T}) as token from documents), q as (select term, case when length(term) <= 2 then 0 when length(term) <= 5 then 1 else 2 end as most from (values ('within'), ('their'), ('einen'), ('quelle'), ('of')) v(term)) select term, token, levenshtein(term, a) as distance from q, (select token, translate(token, 'äöüßéèêàâçñóíáúëïôûîœ', 'ABCDEFGHIJKLMNOPQRSTU') as a from t) x where term[:3] = token[:3] and levenshtein(term, a) <= most",
@@ -261,10 +254,9 @@ SQL = {
     "synonym_counts": r"with t as (select unnest(regexp_extract_all(lower('Agreement bill staff ' || p_name), '[\p{L}\p{N}]+')) as t from part) select case t when 'agreement' then 'contract' when 'bill' then 'invoice' when 'staff' then 'employee' else t end as term, count(*) as n from t group by 1",
     "cosine_matches": "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), s as (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(q.v, e.v) as c from e, e q where q.vec_id % 20 = 0 and q.vec_id <> e.vec_id), r as (select *, row_number() over (partition by query_id order by c desc, vec_id) as k from s) select query_id, vec_id from r where k <= 5",
     "vector_norms": "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 4) as norm from embeddings",
-    "search_router": f"select doc_id from ({_bm25_sql(('with', 'their'))}) x where matched >= 1 order by score desc, doc_id limit 25",
     "highlights": "select doc_id, sha256(regexp_replace(text, '(?i)(with|und)', '<mark>\\1</mark>', 'g')) as marked_hash from documents",
     "best_attempts": "select conv_id, attempt, confidence, valid from (select *, row_number() over (partition by conv_id order by valid desc, case when valid then 0 else confidence end desc, attempt) as k from (select conv_id, turn::int as attempt, (length(text) % 97)::double as confidence, length(text) % 5 = 0 as valid, text from conversations) x where valid or length(trim(text)) > 0) y where k = 1",
-    "joined_pages": "select conv_id, string_agg('--- Page ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) order by turn) as text, avg(length(text) % 97)::double as confidence from conversations where turn <= 3 and length(trim(text)) > 0 group by 1",
+    "joined_pages": "select conv_id, string_agg('--- Page ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) order by turn) as text, avg(length(text) % 97)::double as confidence from conversations where turn <= 50 and length(trim(text)) > 0 group by 1",
     "snippet_policy": "with s as (select l_orderkey as doc_id, l_suppkey as page, l_linenumber as snippet_id, ['signature', 'logo', 'stamp'][l_partkey % 3 + 1] as type, l_discount as impact from lineitem where l_partkey % 3 < 2), f as (select *, impact >= case type when 'signature' then 0.05::double else 0.02::double end as fits from s), r as (select *, row_number() over (partition by doc_id, page, type order by fits desc, impact desc, snippet_id) as k, bool_or(fits) over (partition by doc_id, page) as a from f) select doc_id, page, snippet_id, type, impact from r where case when a then fits and (type <> 'logo' or k <= 1) else k = 1 end",
     "snippet_artefacts": "with x as (select *, least(10 + l_quantity * 47, 2480) - 10 as w, l_linenumber * 3.0::double as h, case when l_partkey % 2 = 0 then 'signature' else 'logo' end as kind from lineitem), y as (select *, case when l_partkey % 3 = 0 then 'text_anomaly' else kind end as k2, case when l_quantity * 70 > 3508 * 0.4::double then 'signature' else 'handwritten' end as place from x) select l_orderkey, l_linenumber, kind = 'signature' and (l_discount <= 0.03::double or h / 3508 < 0.002::double or w / 2480 > 0.95::double or w / h > 40 or h < 4 or w < 4 or w * h < 16) as artefact, case when l_tax / 5 > 0.01::double then 'stamp' when l_discount / 5 > 0.005::double and l_discount / 5 < 0.4::double then place when k2 = 'signature' then place when k2 = 'text_anomaly' then case when l_quantity * 2 >= 70 then 'text_anomaly' when l_quantity * 2 < 30 then 'faded_text' else k2 end else k2 end as category from y",
     "cancelled_actions": "with e as (select user_id as r, event_id as seq, case when event_type = 'error' then 'revert' else event_type end as action from events), l as (select r, max(seq) as m from e where action = 'revert' group by 1) select action, coalesce(seq < m and action <> 'revert', false) as is_cancelled, count(*) as n from e left join l using (r) group by all",

@@ -51,7 +51,8 @@ def path_search(spark, d):
     return routes.path(_index(spark, d), "a\\cold", {"file_path": 1.0, "file_name": 2.0, "main_content": 3.0}).select("id", "score")
 
 
-def accurate_search(spark, d):
+def accurate_boosts(spark, d):
+    """The plain-terms route with constant boosts; accurate_search ranks by term statistics."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
     return routes.accurate(docs, ACCURATE, {"text": 2.0, "source": 5.0}, {"lang": ["en", "fr"]}).select("doc_id", "score")
 
@@ -127,7 +128,7 @@ def tagging_backfill(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    strict_slash_search, service_slash_search, numeric_search, path_search, accurate_search, highlight_fragments, crop_rules, recogniser_confidence, control_rules, coerced_values, embedded_pdfs, state_fields, bloom_members,
+    strict_slash_search, service_slash_search, numeric_search, path_search, accurate_boosts, highlight_fragments, crop_rules, recogniser_confidence, control_rules, coerced_values, embedded_pdfs, state_fields, bloom_members,
     semantic_similarity, tagging_backfill,
 )}
 
@@ -152,7 +153,7 @@ union all select m, id, case when id % 7 <> 0 then 32 else 12 end from x, (value
 union all select 'department', id, 20 from x where p_brand = 'Brand#13'""",
     "numeric_search": "select p_partkey as id, (case when p_size = 24 then 22 else 0 end + case when p_partkey = 24 then 3 else 0 end)::double as score from part where p_size = 24 or p_partkey = 24",
     "path_search": "select p_partkey as id, (14 + case when p_partkey % 2 = 0 then 10 else 0 end)::double as score from part where p_name like 'cold%'",
-    "accurate_search": f"""with x as (select doc_id, {_tok("text")} as t, {_tok("source")} as s, list_aggregate([' ' || array_to_string({_tok("text")}, ' ') || ' '], 'first') as line from documents where lang in ('en', 'fr')),
+    "accurate_boosts": f"""with x as (select doc_id, {_tok("text")} as t, {_tok("source")} as s, list_aggregate([' ' || array_to_string({_tok("text")}, ' ') || ' '], 'first') as line from documents where lang in ('en', 'fr')),
 y as (select doc_id, line, {_term("['of']")} as a, {_term("['the']")} as b, {_term("['report', 'analysis', 'summary']")} as c from x)
 select doc_id, (a + b + c + case when contains(line, ' of the report ') then 4 else 0 end)::double as score from y where (a > 0)::int + (b > 0)::int + (c > 0)::int >= 2""",
     "highlight_fragments": """with p as (select doc_id, i, text[i * 200 + 1:(i + 1) * 200] as p from documents, unnest(range(0, greatest(1, ceil(length(text) / 200)::bigint))) r(i)), c as (select *, len(regexp_extract_all(p, '(?i)(the|und)')) as n from p),

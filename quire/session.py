@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -39,11 +40,35 @@ def ship(spark: SparkSession) -> None:
     sc._quire_shipped = True
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share, below spark.checkpoint.dir; a temporary one of its own on a local master only."""
+def shared_base(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one of the session's own on a local master only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="quire-")
-    return f"{at.rstrip('/')}/quire-{uuid.uuid4().hex}"
+        at = getattr(spark.sparkContext, "_quire_base", None) or tempfile.mkdtemp(prefix="quire-")
+        spark.sparkContext._quire_base = at
+    return at.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below shared_base()."""
+    return f"{shared_base(spark)}/quire-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+def input_state(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files of a table's folder (or of its one file), by the file system's listing."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(at)
+    return hashlib.sha256(repr(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in listed)).encode()).hexdigest()[:24]

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quire.session import scratch
+from quire.operators import keyedtable
+from quire.session import is_folder, scratch
 
 
 def event_stream(spark: SparkSession, folder: str, file: str = "events.parquet", per_trigger: int = 100) -> DataFrame:
-    """The event log as a stream of files; the schema comes from the table."""
+    """A table (the event log) as a stream of its files, be it one file or a folder of them; the schema comes from the table."""
     schema = spark.read.parquet(f"{folder}/{file}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    return stream.parquet(f"{folder}/{file}") if is_folder(spark, f"{folder}/{file}") else stream.option("pathGlobFilter", file).parquet(folder)
 
 
 def status_counts(events: DataFrame) -> DataFrame:
@@ -78,20 +80,24 @@ def run_once(df: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(df.schema).parquet(*paths) if paths else spark.createDataFrame([], df.schema)
 
 
-def merge_batches(df: DataFrame, path: str, key: str, seq: str, checkpoint: str):
-    """A keyed last-wins table kept by micro-batches: each batch is merged with the table so far and written as a new version."""
-    from quire.operators.dedup import survivors
+def merge_batches(df: DataFrame, path: str, key: str, seq: str, checkpoint: str, buckets: int = 16):
+    """A keyed last-wins table kept by micro-batches: each rewrites the buckets that it touches, once however often it is sent."""
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        out = batch
-        if epoch and _exists(spark, f"{path}/v{epoch - 1}"):
-            out = spark.read.parquet(f"{path}/v{epoch - 1}").unionByName(batch)
-        survivors(out, [key], [F.col(seq).desc()]).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+    def latest(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (key, seq)]
+        return rows.groupBy(key).agg(F.max(F.struct(seq, *rest)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in (seq, *rest)])
 
-    return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return merge_stream(df, path, key, latest, checkpoint, buckets)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def merge_stream(df: DataFrame, path: str, key: str, merge: keyedtable.Merge, checkpoint: str, buckets: int = 16):
+    """A keyed table (operators/keyedtable) kept by micro-batches; the stream's checkpoint names the source, its epochs the
+    batches."""
+    spark = df.sparkSession
+    if not keyedtable.exists(spark, path):
+        keyedtable.create(spark, path, df.schema, key, buckets)
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        keyedtable.apply(batch.sparkSession, keyedtable.load(batch.sparkSession, path), batch, merge, checkpoint, epoch)
+
+    return df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

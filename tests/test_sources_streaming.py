@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from quire.operators import keyedtable
 from quire.sources import tables
 from quire.streaming import jobs
 
@@ -37,7 +38,7 @@ def test_session_windows_equal_batch(spark, sf_dir):
 
 def test_merge_batches(spark, sf_dir, tmp_path):
     jobs.merge_batches(jobs.event_stream(spark, sf_dir), str(tmp_path / "t"), "user_id", "event_id", str(tmp_path / "c")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "t/v0"))
+    got = keyedtable.read(spark, keyedtable.load(spark, str(tmp_path / "t")))
     want = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
     assert got.select("user_id", "event_id").exceptAll(want).isEmpty() and got.count() == want.count()
 
