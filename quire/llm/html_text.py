@@ -193,7 +193,7 @@ def parse(page: str | None, p: TreeParams = TreeParams()) -> tuple[list[Text], l
     search = _TOKEN.search
     while at < end:
         m = search(page, at) if at <= last else None
-        start = m.start() if m else end
+        start = m.start() if m else page.find("<!--", at) if "<!--" in page[at:] else end  # a comment may be open at the end
         if start > at:
             piece = page[at:start]
             if opened["head"] and not piece.isspace():
