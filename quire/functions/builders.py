@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions import values as V
 from quire.functions.text import blank, let, norm, truncate
 
 MOST_EMBEDDED, MOST_EMBEDDED_CHARS = 200, 5_000
@@ -20,7 +21,6 @@ DERIVED = (
     (("policy", "procedure", "guideline", "reference"), {"purpose": "Reference", "category": "Policy"}),
 )
 DERIVED_CONFIDENTIALITY = ((("confidential",), "Confidential"), (("internal", "restricted"), "Internal"), (("public",), "Public"))
-PLACEHOLDERS = ("", "n/a", "na", "none", "nan", "null", "-", "tbd")
 
 
 def _any_word(text: Column, words: tuple[str, ...]) -> Column:
@@ -80,7 +80,7 @@ def derived_tags(text: Column) -> dict[str, Column]:
 
 def first_alias(values: dict[str, Column], aliases: tuple[str, ...]) -> Column:
     """The first alias's value that is no placeholder, null if there is none."""
-    real = lambda c: F.when(~norm(c).isin(*PLACEHOLDERS), c)
+    real = lambda c: F.when(~norm(c).isin("", *V.PLACEHOLDERS), c)
     return F.coalesce(*[real(values[a]) for a in aliases if a in values], F.lit(None).cast("string"))
 
 

@@ -130,3 +130,31 @@ SLASH_MODES = (
     ("uid", ("uid",)), ("ext", ("ext", "type")), ("person", ("p", "person", "people", "name")), ("location", ("l", "loc", "location")), ("date", ("d", "date")),
     ("confidentiality", ("c", "conf", "confidentiality")), ("category", ("cat", "category")), ("department", ("dept", "department", "dep")), ("purpose", ("purp", "purpose")),
 )
+
+#: Fixed values of metadata sheets: names of columns by the tag or key they give, first name first; patterns of columns that are
+#: kept besides, of columns and of sheets that are not; cells that say nothing.
+TAG_ALIASES = {
+    "category": ("category", "document category", "doc category", "business category", "record category", "record category name", "document type", "type"),
+    "department": ("department", "dept", "domain", "business unit", "business unit name", "function", "owner department"),
+    "purpose": ("purpose", "intent", "use case", "business purpose", "business function", "business function name", "objective"),
+    "confidentiality": ("confidentiality", "classification", "data classification", "data classification name", "sensitivity", "security classification", "privacy"),
+}
+JOIN_ALIASES = {
+    "smart_id": ("smart id", "smart_id"),
+    "file_key": ("file key", "file_key", "file hash", "file_hash"),
+    "file_name": ("file name", "filename", "name", "document name", "doc name", "folder/app name"),
+    "file_path": ("file path", "filepath", "path", "document path", "source path", "staging file path location", "original file path name"),
+    "doc_id": ("doc id", "document id", "doc_id", "id"),
+}
+EXTENDED_PATTERNS = (
+    "metadata.*level.*code", "record.*class.*name", "record.*category.*name", "sub.*business.*unit", "business.*unit", "record.*type.*code", "record.*type.*description", "record.*type.*desc", "record.*class", "commentary",
+    "business.*function.*name", "document.*type.*name", "iso.*country", "country.*name", "transaction.*number", "transaction.*name", "transaction.*type.*name", "customer.*number", "customer.*name", "record.*format.*name",
+    "original.*record.*location.*type.*name", "record.*source.*name", "data.*classification.*name", "divestiture.*deal.*name", "creation.*date", "last.*modified.*date", "creator.*name", "disposition", "status",
+    "staging.*file.*path.*location", "original.*file.*path.*name", "effective.*time", "preservation.*hold", "tax.*related", "divestiture", "record.*format", "original.*record.*location", "record.*source", "staging.*file.*path",
+)
+EXCLUDED_COLUMNS = (
+    "^non-metadata$", "^metadata.*element.*name$", "^mandatory.*optional.*indicator$", "^mandatory.*metadata.*requirements$", "^optional.*metadata.*elements$", "^definition$", "^allowable.*values", "^metadata.*element.*format$",
+    "^data.*owner.*documentation", "^irm.*checklist$",
+)
+EXCLUDED_SHEETS = (r"metadata\s*definition", r"copy\s*ticket", r"valid\s*values")
+PLACEHOLDERS = ("na", "n/a", "none", "null", "unknown", "not available", "not_applicable", "-", "--")

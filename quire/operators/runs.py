@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.measures import COUNTS, measures
 from quire.functions.text import blank
 
 #: Who may set the metadata source, weakest first.
@@ -101,6 +102,16 @@ def accuracy_backfill(state: DataFrame) -> DataFrame:
     return lacking.withColumns({"source": source, "chars": F.when(source == "size", F.greatest(F.lit(1), F.floor(F.col("file_size") / part)))})
 
 
+def recomputed_accuracy(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """file_key and the measures of the rows that lack an accuracy: texts(file_path, text) has what can be read of a file itself;
+    of the rest the length is taken from the size (see accuracy_backfill).  Files without a path or a text are left out."""
+    todo = accuracy_backfill(state).where("source <> 'skip'").join(texts.select("file_path", "text"), "file_path", "left")
+    text = F.when(F.col("source") == "size", F.repeat(F.lit("x"), F.col("chars").cast("int"))).otherwise(F.col("text"))
+    none = F.lit(None).cast("struct<" + ", ".join(f"{c}: long" for c in COUNTS) + ">")
+    ready = todo.withColumn("__t", text).where("__t is not null")
+    return ready.select("file_key", measures(F.col("file_path"), F.col("__t"), F.col("__t"), F.col("file_size"), none).alias("m")).select("file_key", "m.*")
+
+
 def flush_updates(pending: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(updates of pending(doc_id, ocr_content, ocr_confidence) that go to the index, those that wait for their document).
     Rows without an id go; what waits keeps 50,000 characters."""

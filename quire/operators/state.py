@@ -79,6 +79,14 @@ def partial_update(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return out.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in cols}).select(*base.columns)
 
 
+def accuracy_update(base: DataFrame, metrics: DataFrame, key: str, once: tuple[str, ...] = ("enhanced_accuracy",)) -> DataFrame:
+    """Measures replace those of the key's state, where they aren't null; those of `once` only fill what is null.  Keys without
+    a state change nothing."""
+    cols = [c for c in metrics.columns if c != key]
+    out = base.join(metrics.select(key, *[F.col(c).alias(f"__{c}") for c in cols]), key, "left")
+    return out.withColumns({c: F.coalesce(c, f"__{c}") if c in once else F.coalesce(f"__{c}", c) for c in cols}).select(*base.columns)
+
+
 def ocr_update(base: DataFrame, ocr: DataFrame, key: str = "doc_id") -> DataFrame:
     """Recognised text and confidence; main content is filled only where it is missing; unknown documents are added."""
     both = base.join(ocr.select(key, F.col("ocr_content").alias("__t"), F.col("ocr_confidence").alias("__c")), key, "full")

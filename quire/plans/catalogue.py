@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import building, documents, keyed, lifecycle, queues, reports, routes, runs, search
+from quire.plans import building, details, documents, keyed, lifecycle, queues, reports, routes, runs, search
 
-_MODULES = (building, documents, keyed, lifecycle, queues, reports, routes, runs, search)
+_MODULES = (building, details, documents, keyed, lifecycle, queues, reports, routes, runs, search)
 
 
 def queries() -> dict:

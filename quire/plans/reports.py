@@ -8,6 +8,7 @@ from quire.functions import accuracy as A
 from quire.functions import analysis
 from quire.functions.text import format_size, seconds_to_human, snippet
 from quire.operators import ocr, review, search, vectorindex, vectors
+from quire.operators.quantiles import exact_quantile
 from quire.session import scratch
 from quire.sources.tables import registry, table
 
@@ -36,7 +37,7 @@ def fill_rates(spark, d):
 
 def accuracy_summary(spark, d):
     v = table(spark, d, "events").select("value")
-    return v.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("low"), F.max("value").alias("high"), F.stddev_samp("value").alias("std"), F.count_if(F.col("value") >= 90).alias("excellent"), F.count_if(F.col("value") < 70).alias("poor"))
+    return v.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.lit(exact_quantile(v, "value", 0.5)).cast("double").alias("median"), F.min("value").alias("low"), F.max("value").alias("high"), F.stddev_samp("value").alias("std"), F.count_if(F.col("value") >= 90).alias("excellent"), F.count_if(F.col("value") < 70).alias("poor"))
 
 
 def accuracy_tiers(spark, d):

@@ -16,8 +16,8 @@ class Claims(StatefulProcessor):
     """The state of an item is the time of its open claim, in milliseconds; a timer stands at that time plus the timeout.
 
     An item's events are taken in order of time, of equal times in order of status (completed, failed, pending, processing).
-    Every event gives a row; a claim that the watermark passes by the timeout without another event gives the row that returns
-    it."""
+    Every event gives a row; a claim without another event until its timeout gives the row that returns it, be it that the
+    watermark passes the timer or that a later event comes first, so the rows don't depend on how the stream is cut."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
@@ -29,8 +29,11 @@ class Claims(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         for r in sorted(rows, key=lambda x: (x["at_ms"], x["status"])):
             if self.open.exists():
-                self.handle.deleteTimer(self.open.get()[0] + self.timeout_ms)
+                end = self.open.get()[0] + self.timeout_ms
+                self.handle.deleteTimer(end)
                 self.open.clear()
+                if end <= r["at_ms"]:  # it ran out before, though no batch has passed its timer
+                    yield Row(id=key[0], status="pending", at_ms=end, expired=True)
             if r["status"] == "processing":
                 self.open.update((r["at_ms"],))
                 self.handle.registerTimer(r["at_ms"] + self.timeout_ms)
