@@ -108,13 +108,25 @@ def correct(c: Column) -> Column:
     return F.struct(out["text"].alias("text"), out["n"].alias("corrections"))
 
 
+def _may_hold(t: Column, pattern: str) -> Column:
+    """Whether the text has what any hit of a rule's pattern has: plain searches, which spare most texts the pattern."""
+    if pattern.startswith(r"\b"):
+        return F.contains(t, F.lit(pattern[2:-2].replace("\\|", "|")))
+    names = next((g for g in (V.MONTHS_31, V.MONTHS_30) if pattern.startswith("(" + "|".join(g) + ")")), ("February",) if pattern.startswith("February") else ("(",) if pattern.startswith(r"\(") else ("$",))
+    out = F.lit(False)
+    for n in names:
+        out = out | F.contains(t, F.lit(n))
+    return out
+
+
 def _stage(rules: list[Rule]) -> Callable[[Column], Column]:
     kind = rules[-1][1]
     if kind == "re":
         def run(x: Column) -> Column:
             for _, _, p, r in rules:
                 def step(y: Column, p: str = p, r: str = r) -> Column:
-                    return F.struct(F.regexp_replace(y["text"], p, r).alias("text"), (y["n"] + F.regexp_count(y["text"], F.lit(p))).alias("n"))
+                    changed = F.struct(F.regexp_replace(y["text"], p, r).alias("text"), (y["n"] + F.regexp_count(y["text"], F.lit(p))).alias("n"))
+                    return F.when(_may_hold(y["text"], p), changed).otherwise(y)
 
                 x = let(x, lambda y: step(y))  # noqa: B023
             return x

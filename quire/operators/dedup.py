@@ -29,9 +29,9 @@ def mark_duplicates(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
 
 
 def survivors(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
+    """The first row of each key; of rows equal in the order any one."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")  # ranks under a limit are cut before the shuffle
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

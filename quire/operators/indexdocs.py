@@ -55,19 +55,19 @@ def index_documents(rows: DataFrame, json: str, parents: DataFrame, at: Column,
 
     parents(child_hash, parent_hash) tells the archive that a file came out of; of several parents the smallest.  A document
     without a hash has none and isn't shuffled for it.  A text longer than `most_main` is cut at a space and marked."""
-    v = F.col("__v")
+    v, files = F.col("__v"), F.col("__files")
     main = truncate(_text(v, "main_content"), most_main)
     path = _text(v, "file_path")
     count = F.when(_kind(v, "embedded_count").isin("BIGINT", "INT"), F.try_variant_get(v, "$.embedded_count", "long"))
     fields = {
         "file_path": path, "file_name": base_name(path), "file_hash": _text(v, "file_hash"), "content_hash": _text(v, "content_hash"), "main_content": main["text"], "content_truncated": main["truncated"], "content_original_length": main["length"],
-        "metadata": F.coalesce(F.try_variant_get(v, "$.metadata", "map<string,string>"), F.create_map().cast("map<string,string>")), "embedded_files": _embedded(v), "embedded_count": F.coalesce(count, F.size(_embedded(v)).cast("long")),
+        "metadata": F.coalesce(F.try_variant_get(v, "$.metadata", "map<string,string>"), F.create_map().cast("map<string,string>")), "embedded_files": files, "embedded_count": F.coalesce(count, F.size(files).cast("long")),
         "needs_ocr": F.coalesce(F.try_variant_get(v, "$.needs_ocr", "boolean"), F.lit(False)), "ocr_completed": F.lit(False), "indexed_at": at, "extraction_time_ms": F.coalesce(F.try_variant_get(v, "$.extraction_time_ms", "double"), F.lit(0.0)),
         **{f: _text(v, f) for f in TEXTS}, **{f: _list(v, f, s) for f, s in LISTS.items()},
         "file_type": F.when(_text(v, "file_type") != "", _text(v, "file_type")).otherwise(suffix(path)), "file_size": F.try_variant_get(v, "$.file_size", "long"),
-        "embedded_content": embedded_text(_embedded(v), most_embedded), "ocr_content": F.lit(""), "ocr_confidence": F.lit(0.0),
+        "embedded_content": embedded_text(files, most_embedded), "ocr_content": F.lit(""), "ocr_confidence": F.lit(0.0),
     }
-    parsed = rows.withColumn("__v", F.try_parse_json(F.col(json)))
+    parsed = rows.withColumn("__v", F.try_parse_json(F.col(json))).withColumn("__files", _embedded(v))
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     built = parsed.select(*[c for c in rows.columns if c != json], F.when(is_object, F.struct(*[c.alias(k) for k, c in fields.items()])).alias("document"))
     hashed = F.nullif(F.col("document.file_hash"), F.lit(""))

@@ -19,11 +19,24 @@ def _count(conditions: list[Column]) -> Column:
     return out
 
 
-def field_scores(text: Column, path: Column, field: str, feedback: dict[str, float] | None = None) -> Column:
-    """array of struct(label, raw, priority) of the built-in taxonomy for one field: alias in text 0.30, alias in path
-    0.20, keyword coverage x 0.35, label-token overlap x 0.15, and what reviewers' feedback gives a label, at most 0.20."""
+def prepared(text: Column, path: Column) -> Column:
+    """struct(t, p, w): the taxonomy's phrases in the text and in the path, and the text's tokens.  A Python function is in it:
+    make it a column of its own and give that to field_scores(), so that each text is read once for all fields."""
+    plain = lambda c: norm(F.translate(F.coalesce(c, F.lit("")), "_\\/", "   "))
+    phrases = _taxonomy_phrases()
+    return F.struct(phrases.prepare(plain(text)).alias("t"), phrases.prepare(plain(path)).alias("p"), tokens(text).alias("w"))
+
+
+def _taxonomy_phrases() -> Phrases:
+    return Phrases([w for _, label, aliases, keywords, _ in V.TAXONOMY for w in (label, *aliases, *keywords)])
+
+
+def field_scores(x: Column, field: str, feedback: dict[str, float] | None = None) -> Column:
+    """array of struct(label, raw, priority) of the built-in taxonomy for one field of a prepared() text: alias in text 0.30,
+    alias in path 0.20, keyword coverage x 0.35, label-token overlap x 0.15, and what reviewers' feedback gives a label, at
+    most 0.20."""
     rows = [r for r in V.TAXONOMY if r[0] == field]
-    phrases = Phrases([w for _, label, aliases, keywords, _ in rows for w in (label, *aliases, *keywords)])
+    phrases = _taxonomy_phrases()
 
     def score(t: Column, p: Column, words: Column) -> Column:
         out = []
@@ -39,8 +52,7 @@ def field_scores(text: Column, path: Column, field: str, feedback: dict[str, flo
             out.append(F.struct(F.lit(label).alias("label"), raw.alias("raw"), F.lit(priority).alias("priority")))
         return F.array(*out)
 
-    plain = lambda c: norm(F.translate(F.coalesce(c, F.lit("")), "_\\/", "   "))
-    return let(F.struct(phrases.prepare(plain(text)).alias("t"), phrases.prepare(plain(path)).alias("p"), tokens(text).alias("w")), lambda x: score(x["t"], x["p"], x["w"]))
+    return score(x["t"], x["p"], x["w"])
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -72,17 +84,18 @@ def decide(best: Column, field: str) -> Column:
 
 def tag(docs: DataFrame, text: str, path: str) -> DataFrame:
     """docs with a struct (label, score, review) per field, the overall confidence and the cross-field check."""
-    out = docs
+    out = docs.withColumn("__x", prepared(F.col(text), F.col(path)))
     for field in V.TAXONOMY_DEFAULTS:
-        out = out.withColumn(field, _decided(field, text, path))
+        out = out.withColumn(field, _decided(field))
+    out = out.drop("__x")
     fields = list(V.TAXONOMY_DEFAULTS)
     out = out.withColumn("tag_confidence", sum((F.col(f"{f}.score") for f in fields), F.lit(0.0)) / len(fields))
     all_low = F.col(f"{fields[0]}.review") & F.col(f"{fields[1]}.review") & F.col(f"{fields[2]}.review")
     return out.withColumn("needs_review", all_low)
 
 
-def _decided(field: str, text: str, path: str) -> Column:
-    return let(best_label(field_scores(F.col(text), F.col(path), field)), lambda b: decide(b, field))
+def _decided(field: str) -> Column:
+    return let(best_label(field_scores(F.col("__x"), field)), lambda b: decide(b, field))
 
 
 def votes(text: Column, table: dict[str, list[str]], default: str, by_length: bool = False) -> Column:
@@ -219,6 +232,7 @@ def tag_requests(docs: DataFrame, text: str, path: str, explicit: dict[str, str]
     gives labels by field up to 0.20 more."""
     out = docs
     has_metadata = _any([norm(F.col(c)) != "" for c in (*explicit.values(), *derived.values())])
+    out = out.withColumn("__x", prepared(F.col(text), F.col(path)))
     out = out.withColumn("__little", too_little([F.col(text)], F.coalesce(has_metadata, F.lit(False))))
     for field, default in V.TAXONOMY_DEFAULTS.items():
         found = F.struct(F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("score"), F.lit("").alias("source"))
@@ -228,7 +242,7 @@ def tag_requests(docs: DataFrame, text: str, path: str, explicit: dict[str, str]
                 c = F.col(columns[field])
                 label = canonical_label(field, c)
                 told.append(F.when(norm(c) != "", F.struct(F.coalesce(label, F.trim(c)).alias("label"), F.when(label.isNotNull(), known).otherwise(raw).alias("score"), F.lit(source).alias("source"))))
-        scored = let(best_label(field_scores(F.col(text), F.col(path), field, (feedback or {}).get(field))), lambda b: F.struct(b["label"].alias("label"), b["score"].alias("score"), F.lit("model").alias("source")))
+        scored = let(best_label(field_scores(F.col("__x"), field, (feedback or {}).get(field))), lambda b: F.struct(b["label"].alias("label"), b["score"].alias("score"), F.lit("model").alias("source")))
         found = F.coalesce(*told, scored)
 
         def settle(x: Column) -> Column:
@@ -252,4 +266,4 @@ def tag_requests(docs: DataFrame, text: str, path: str, explicit: dict[str, str]
     final = {"category": F.when(F.col("record_category") != "", F.col("record_category")).otherwise(F.col("category.label")), "department": F.col("business_unit"), "purpose": F.col("purpose.label")}
     mean = sum((F.col(f"{f}.score") for f in fields), F.lit(0.0)) / len(fields)
     out = out.withColumns({f"final_{f}": F.when(little, "Unclassified").otherwise(c) for f, c in final.items()} | {"review_required": little | review, "tagging_status": F.when(little, "insufficient_content").when(review, "needs_review").otherwise("tagged"), "overall": F.when(little, 0.0).otherwise(mean)})
-    return out.drop("__little")
+    return out.drop("__little", "__x")

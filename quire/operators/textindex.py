@@ -60,7 +60,7 @@ def _bucket_of(term: str, layout: Layout) -> int:
 
 def _document_terms(tokens: Column) -> Column:
     """array(struct(term, positions)) of a document's tokens, in linear time after one sort."""
-    in_order = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    in_order = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))  # no comparator to interpret
 
     def cut(s: Column) -> Column:
         begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k)["t"] != F.get(s, k - 1)["t"]))

@@ -10,7 +10,7 @@ k-th found so far, by the angle to the centroid less the cell's largest angle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.vectors import _unit
+from quire.operators.vectors import _unit, best_matches
 
 MATCH = "query_id long, vec_id long, similarity double"
 
@@ -184,3 +184,11 @@ def search(index: CellIndex, queries: DataFrame, k: int, least: float = -1.0, ex
     kind = held.schema["vector"].dataType.simpleString()
     more = known.mapInArrow(run, f"cell int, query_id long, vector {kind}")
     return _top(first.unionByName(_meet(index, more, k, least)), k)
+
+
+def nearest(base: DataFrame, queries: DataFrame, k: int, scratch: Callable[[], str], few: int = 4_096) -> DataFrame:
+    """The exact k best: up to `few` queries are one matrix that every task multiplies its rows with; more of them go through the
+    cells.  scratch() gives a new shared folder."""
+    if queries.limit(few + 1).count() <= few:
+        return best_matches(base, queries, k, block_rows=few)
+    return search(build(base, scratch()), queries, k, exact=True, scratch=scratch())

@@ -9,6 +9,7 @@ from quire.functions import entities
 from quire.functions import text as T
 from quire.functions import values as V
 from quire.operators import dedup, tagging
+from quire.session import written
 from quire.sources.tables import table
 
 _SPACES = r"'\s+', ' ', 'g'"
@@ -20,7 +21,8 @@ HASH = f"case when coalesce(text, '') = '' then '' else sha256({CONTENT}) end"
 
 
 def dedup_content_hash(spark, d):
-    out = dedup.mark_duplicates(table(spark, d, "documents").select("doc_id", "source", "text"), T.content_hash(F.col("text")), ["doc_id"])
+    hashed = written(table(spark, d, "documents").select("doc_id", "source", T.content_hash(F.col("text")).alias("hash")))  # the texts are hashed once
+    out = dedup.mark_duplicates(hashed, F.col("hash"), ["doc_id"])
     return out.select("doc_id", "source", F.col("key").alias("content_hash"), "is_duplicate", F.col("primary_id").alias("primary_doc_id"))
 
 
