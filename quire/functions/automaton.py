@@ -6,7 +6,7 @@ holds between word edges.  The cost of a text doesn't grow with the number of ph
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -47,10 +47,11 @@ def found(text: str | None, phrases: tuple[str, ...]) -> list[int]:
 
 
 class Phrases:
-    """Which of many phrases a normalised text holds between word edges.  ValueError for phrases beyond MOST_BYTES."""
+    """Which of many phrases a text, brought to the form that `fold` gives them, holds between word edges.  ValueError for phrases beyond MOST_BYTES."""
 
-    def __init__(self, phrases: list[str]):
-        self.all = tuple(sorted({canonical(p) for p in phrases} - {""}))
+    def __init__(self, phrases: list[str], fold: Callable[[str], str] = canonical):
+        self.fold = fold
+        self.all = tuple(sorted({fold(p) for p in phrases} - {""}))
         if (size := sum(len(p.encode()) for p in self.all)) > MOST_BYTES:
             raise ValueError(f"{size} bytes of phrases are more than the {MOST_BYTES} that each worker may hold")
         self.number = {p: i for i, p in enumerate(self.all)}
@@ -67,7 +68,7 @@ class Phrases:
         return run(t)
 
     def has(self, x: Column, phrase: str) -> Column:
-        return F.array_contains(x, F.lit(self.number[canonical(phrase)]))
+        return F.array_contains(x, F.lit(self.number[self.fold(phrase)]))
 
 
 def phrase_votes(docs: DataFrame, key: str, text: str, dictionary: list[tuple[str, str, float]]) -> DataFrame:

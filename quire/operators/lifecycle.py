@@ -209,14 +209,34 @@ def canonical(rows: DataFrame, column: str, aliases: DataFrame, labels: DataFram
     return out.withColumn("canonical", F.when(F.col("__k") == "", "").otherwise(F.coalesce("__a", "__b", F.lit("")))).drop("__k", "__a", "__b")
 
 
+MOST_LITERALS = 500  # names that stand in an expression; more of them are a table
+
+
 def deals(docs: DataFrame, names: DataFrame, text: str, most: int = 3) -> DataFrame:
     """doc_id, deals: the registered names that stand as words in a text, by name, at most three.
 
-    Words of the texts meet the first words of names(name); only those pairs are searched."""
+    Names of up to MOST_BYTES together go to every worker as one automaton, which reads each text once; beyond that, words of
+    the texts meet the first words of names(name), and only those pairs are searched."""
+    from quire.functions.automaton import MOST_BYTES, Phrases
     from quire.functions.text import EDGE_LEFT, EDGE_RIGHT
 
+    n = names.where(F.length("name") >= 2)
+    if (n.agg(F.sum(F.octet_length("name"))).first()[0] or 0) <= MOST_BYTES // 2:
+        spelled: dict[str, list[str]] = {}
+        for r in n.select("name").distinct().collect():
+            spelled.setdefault(r["name"].lower(), []).append(r["name"])
+        phrases = Phrases(list(spelled), str.lower)
+        own = F.array(*[F.array(*[F.lit(x) for x in sorted(spelled[p])]) for p in phrases.all]) if len(phrases.all) <= MOST_LITERALS else None
+        found = docs.select("doc_id", phrases.prepare(F.lower(F.coalesce(text, F.lit("")))).alias("p"))
+        if own is not None:
+            said = F.flatten(F.transform("p", lambda i: F.get(own, i)))
+            return found.select("doc_id", F.array_join(F.slice(F.array_sort(F.array_distinct(said)), 1, most), ", ").alias("deals"))
+        table = docs.sparkSession.createDataFrame([(phrases.number[k], x) for k, v in spelled.items() for x in v], "i int, name string")
+        hits = found.select("doc_id", F.explode("p").alias("i")).join(table, "i").groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, most), ", ").alias("deals"))
+        return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("deals", F.lit("")).alias("deals"))
+
     first = lambda c: F.regexp_extract(F.lower(c), r"([\p{L}\p{N}_]+)", 1)
-    n = names.where(F.length("name") >= 2).select("name", first(F.col("name")).alias("w"))
+    n = n.select("name", first(F.col("name")).alias("w"))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
     pairs = words.join(n, "w").select("doc_id", "name").distinct().join(docs.select("doc_id", F.lower(text).alias("__t")), "doc_id")
     edge = F.concat(F.lit(EDGE_LEFT), F.regexp_replace(F.lower("name"), r"([^\p{L}\p{N}_ ])", r"\\$1"), F.lit(EDGE_RIGHT))

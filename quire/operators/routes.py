@@ -170,20 +170,23 @@ def accurate(docs: DataFrame, q: str, boosts: dict[str, float], filters: dict |
 
 
 def fragments(c: Column, terms: list[str], size: int, most: int) -> Column:
-    """The `most` pieces of `size` characters with the most hits of terms of three letters or more, marked; of equals the
-    first."""
+    """The `most` fragments with the most hits of terms of three letters or more, marked; of equals the first.  A fragment is as many
+    whole words as `size` characters hold; only a word that is longer itself is cut."""
     long = [re.escape(t) for t in terms if len(t) >= 3]
     if not long:
         return F.array().cast("array<string>")
     pattern = f"(?i)({'|'.join(long)})"
-    text = F.coalesce(c, F.lit(""))
-    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0)))
-    pieces = F.transform(at, lambda i: F.substring(text, i * size + 1, F.lit(size)))
+    pieces = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(fragment_pattern(size)), F.lit(0)), lambda p: F.rtrim(F.translate(p, "\t\n\r", "   ")))
     counted = F.transform(pieces, lambda p, i: F.struct((-F.regexp_count(p, F.lit(pattern))).alias("n"), i.alias("i"), p.alias("p")))
     best = F.slice(F.array_sort(F.filter(counted, lambda x: x["n"] < 0)), 1, most)
     return F.transform(best, lambda x: F.regexp_replace(x["p"], pattern, "<mark>$1</mark>"))
 
 
+def fragment_pattern(size: int) -> str:
+    """Words up to `size` characters in all and the white space after them, or that many characters of a longer word."""
+    return rf"(?s)\S(?:.{{0,{size - 2}}}\S)?(?:\s|$)|\S{{{size}}}"
+
+
 def find(docs: DataFrame, q: str, boosts: dict[str, float], key: str = "id", filters: dict | None = None, exact: bool = False, strict: bool = True, page: int = 1, size: int = 10) -> DataFrame:
     """The router: a page of the scored rows of the route that the query tells (see parse), best first, equals by key.
     `strict` takes the dashboard's slash commands, else the service's.  A query without words finds nothing."""

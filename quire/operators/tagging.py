@@ -10,6 +10,7 @@ from quire.functions.automaton import Phrases
 from quire.functions.text import contains_phrase, holds, let, norm, record_category, tokens
 
 MOST_RAW, DEGRADED_CAP, THRESHOLD = 2.0, 1.20, 0.75
+SHORTEST_PART = 4  # letters of a candidate that may be part of an allowed value or hold one
 
 
 def _count(conditions: list[Column]) -> Column:
@@ -135,12 +136,28 @@ def countries(text: Column) -> Column:
 
 def allowed_value(candidates: DataFrame, allowed: DataFrame, column: str) -> DataFrame:
     """column, value, mode: exact match, then either contains the other (four letters or more), then the largest token
-    overlap; the smallest name wins ties.  `allowed(value)` is a small registry that is broadcast."""
-    c = candidates.select(F.col(column).alias("candidate")).distinct().withColumn("c", norm(F.col("candidate"))).withColumn("ct", tokens(F.col("c")))
-    a = F.broadcast(allowed.select("value", norm(F.col("value")).alias("a"), tokens(norm(F.col("value"))).alias("at")))
-    overlap = F.size(F.array_intersect("ct", "at"))
-    tier = F.when(F.col("c") == F.col("a"), 1).when((F.length("c") >= 4) & (F.col("a").contains(F.col("c")) | F.col("c").contains(F.col("a"))), 2).when(overlap > 0, 3)
-    ranked = c.join(a, tier.isNotNull()).groupBy("candidate").agg(F.min(F.struct(tier.alias("tier"), F.when(tier == 3, -overlap).otherwise(0).alias("o"), F.col("value"))).alias("best"))
+    overlap; the smallest name wins ties.  Blank candidates and blank allowed values match nothing.
+
+    Distinct candidates meet allowed(value), a registry of any size, on equal forms, on the first letters of the one among the
+    runs of letters of the other, and on words; only those pairs are compared."""
+    c = candidates.select(F.col(column).alias("candidate")).distinct().withColumn("c", norm(F.col("candidate")))
+    a = allowed.select("value", norm(F.col("value")).alias("a")).where("a <> ''").distinct()
+    long = c.where(F.length("c") >= SHORTEST_PART)
+
+    def runs(x: str, n: int) -> Column:
+        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n))))).alias("k")
+
+    n = SHORTEST_PART
+    exact = c.join(a, F.col("c") == F.col("a")).select("candidate", F.lit(1).alias("tier"), F.lit(0).alias("o"), "value")
+    holding = a.where(F.length("a") >= n).select("value", "a", runs("a", n)).join(long.withColumn("k", F.substring("c", 1, n)), "k").where(F.contains("a", "c"))
+    held = [long.select("candidate", "c", runs("c", size)).join(a.where(F.length("a") == size if size < n else F.length("a") >= n).withColumn("k", F.substring("a", 1, size)), "k").where(F.contains("c", "a")) for size in range(1, n + 1)]
+    partial = [x.select("candidate", F.lit(2).alias("tier"), F.lit(0).alias("o"), "value") for x in (holding, *held)]
+    words = lambda df, x, *keep: df.select(*keep, F.explode(tokens(F.col(x))).alias("w"))
+    overlap = words(c, "c", "candidate").join(words(a, "a", "value"), "w").groupBy("candidate", "value").agg((-F.count("*")).cast("int").alias("o")).select("candidate", F.lit(3).alias("tier"), "o", "value")
+    found = exact
+    for x in (*partial, overlap):
+        found = found.unionByName(x)
+    ranked = found.groupBy("candidate").agg(F.min(F.struct("tier", "o", "value")).alias("best"))
     mode = F.when(F.col("best.tier") == 1, "exact").when(F.col("best.tier") == 2, "partial").when(F.col("best.tier") == 3, "overlap")
     return c.select("candidate").join(ranked, "candidate", "left").select(F.col("candidate").alias(column), F.col("best.value").alias("value"), F.coalesce(mode, F.lit("none")).alias("mode"))
 
@@ -188,11 +205,15 @@ def too_little(contents: list[Column], has_metadata: Column, least: int = 50) ->
 
 
 def registry_casing(rows: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
-    """rows with the comma-separated values of `column` in the registry's casing; values it doesn't know go.  allowed(value)
-    is a small registry, gathered to one row and broadcast."""
-    table = allowed.select(F.struct(norm(F.col("value")).alias("k"), F.col("value").alias("v")).alias("e")).agg(F.map_from_entries(F.array_sort(F.collect_set("e"))).alias("__m"))
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), ","), lambda p: F.element_at(F.col("__m"), norm(p))), lambda v: v.isNotNull())
-    return rows.crossJoin(F.broadcast(table)).withColumn(column, F.array_join(parts, ", ")).drop("__m")
+    """rows with the comma-separated values of `column` in the registry's casing; values it doesn't know go.
+
+    Each distinct cell is taken apart once and its parts meet allowed(value), of any size, on their normalised form; of names
+    that differ in casing only the smallest counts."""
+    cell = F.coalesce(F.col(column), F.lit(""))
+    known = allowed.groupBy(norm(F.col("value")).alias("__k")).agg(F.min("value").alias("__v"))
+    parts = rows.select(cell.alias("__cell")).distinct().select("__cell", F.posexplode(F.split("__cell", ",")).alias("__i", "__p")).withColumn("__k", norm(F.col("__p")))
+    cased = parts.join(known, "__k").groupBy("__cell").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]), ", ").alias("__c"))
+    return rows.withColumn("__cell", cell).join(cased, "__cell", "left").withColumn(column, F.coalesce("__c", F.lit(""))).drop("__cell", "__c")
 
 
 def sub_units(text: Column, units: list[str], scope: dict[str, tuple[str, ...]], parent: Column) -> Column:

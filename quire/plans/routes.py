@@ -156,9 +156,10 @@ union all select 'department', id, 20 from x where p_brand = 'Brand#13'""",
     "accurate_boosts": f"""with x as (select doc_id, {_tok("text")} as t, {_tok("source")} as s, list_aggregate([' ' || array_to_string({_tok("text")}, ' ') || ' '], 'first') as line from documents where lang in ('en', 'fr')),
 y as (select doc_id, line, {_term("['of']")} as a, {_term("['the']")} as b, {_term("['report', 'analysis', 'summary']")} as c from x)
 select doc_id, (a + b + c + case when contains(line, ' of the report ') then 4 else 0 end)::double as score from y where (a > 0)::int + (b > 0)::int + (c > 0)::int >= 2""",
-    "highlight_fragments": """with p as (select doc_id, i, text[i * 200 + 1:(i + 1) * 200] as p from documents, unnest(range(0, greatest(1, ceil(length(text) / 200)::bigint))) r(i)), c as (select *, len(regexp_extract_all(p, '(?i)(the|und)')) as n from p),
+    "highlight_fragments": r"""with p as (select doc_id, unnest(regexp_extract_all(text, '(?s)\S(?:.{0,198}\S)?(?:\s|$)|\S{200}')) as p, generate_subscripts(regexp_extract_all(text, '(?s)\S(?:.{0,198}\S)?(?:\s|$)|\S{200}'), 1) as i from documents),
+c as (select doc_id, i, rtrim(translate(p, chr(9) || chr(10) || chr(13), '   ')) as p, len(regexp_extract_all(p, '(?i)(the|und)')) as n from p),
 b as (select * from c where n > 0 qualify row_number() over (partition by doc_id order by n desc, i) <= 3)
-select d.doc_id, coalesce(f, '') as fragments from documents d left join (select doc_id, string_agg(regexp_replace(p, '(?i)(the|und)', '<mark>\\1</mark>', 'g'), '|' order by n desc, i) as f from b group by 1) g on d.doc_id = g.doc_id""",
+select d.doc_id, coalesce(f, '') as fragments from documents d left join (select doc_id, string_agg(regexp_replace(p, '(?i)(the|und)', '<mark>\1</mark>', 'g'), '|' order by n desc, i) as f from b group by 1) g on d.doc_id = g.doc_id""",
     "crop_rules": f"""with x as (select *, length(text) as n, {_kinds}[length(text) % 6 + 1] as k, length(text) % 100 as conf, text[:length(text) % 12] as t from conversations),
 y as (select *, length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) as an, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as al, case when k = 'signature' and greatest(n % 200, 1) / greatest(n % 60, 1) < 2 and n % 60 > 20 then 'text_anomaly' else k end as fine from x)
 select conv_id, turn, case k when 'handwritten' then 'Transcription Auditor' when 'faded_text' then 'Faded Text Specialist' when 'stamp' then 'Compliance Officer' when 'logo' then 'Brand Integrity Reviewer' else 'Reviewer' end as role, fine as refined,
