@@ -12,7 +12,7 @@ once.  Groups are dealt by a hash of a row's place, so null or repeated ids spre
 and its cost on `grid` and `most_docs` only.
 
 Tokeniser.  The normaliser and the pre-tokeniser treat white space as nothing but a border, so a text's ids are those of
-its white-space-separated chunks, each encoded by `tokenizers` itself and remembered up to `memo_bytes`."""
+its white-space-separated chunks, each encoded by `tokenizers` itself and remembered; what is remembered of earlier texts takes about `memo_bytes` at most."""
 
 from __future__ import annotations
 
@@ -44,7 +44,7 @@ class PatternParams:
     group_pieces: int = 65_536
     seed: int = 31
     tokenizer: str = "word_bpe_49k.json"  # a file of public_tokenizers or a path
-    memo_bytes: int = 128_000_000  # of remembered chunks in each Python worker
+    memo_bytes: int = 256_000_000  # of remembered chunks in each Python worker, at most
 
 
 # Unicode's White_Space; str.split() also cuts at four control characters that are none.
@@ -53,7 +53,7 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _LONGEST = 64  # characters of a chunk that is remembered
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the apostrophe
 _LATIN_END = "\u0250"
-_ENTRY = 200  # bytes of a remembered chunk besides its letters and ids
+_ENTRY = 400  # bytes of a remembered chunk, about
 
 
 class Encoder:
@@ -69,41 +69,34 @@ class Encoder:
         self.model = self.own.model
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.memo: dict[str, bytes] = {}
-        self.used, self.most = 0, memo_bytes
+        self.most = memo_bytes // _ENTRY
 
-    def _plain(self, token: str) -> bytes:
+    def _token(self, token: str) -> bytes:
         """Ids of one pre-token of lower-case letters or of marks, remembered under itself."""
         ids = self.memo.get(token)
         if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(token if token.isascii() else self.as_bytes(token)[0][0])]).tobytes()
-            self._keep(token, ids)
+            ids = self.memo[token] = array("I", [t.id for t in self.model.tokenize(token if token.isascii() else self.as_bytes(token)[0][0])]).tobytes()
         return ids
 
-    def _keep(self, chunk: str, ids: bytes) -> None:
-        if len(chunk) <= _LONGEST and self.used <= self.most:
-            self.memo[chunk] = ids
-            self.used += _ENTRY + 4 * len(chunk) + len(ids)
-
     def _ids(self, chunk: str) -> bytes:
         letters = chunk.rstrip(_MARKS)
-        lower = letters.lower()
-        if lower.isalpha() and max(lower) < _LATIN_END and letters.isalpha() and "|" not in chunk and is_normalized("NFC", chunk):
-            return self._plain(lower) + (self._plain(chunk[len(letters) :]) if len(letters) < len(chunk) else b"")
+        if letters.isalpha() and "|" not in chunk and len(chunk) <= _LONGEST:
+            lower = letters.lower()
+            if chunk.isascii() or (lower.isalpha() and max(lower) < _LATIN_END and is_normalized("NFC", chunk)):
+                return self._token(lower) + self._token(chunk[len(letters) :]) if len(letters) < len(chunk) else self._token(lower)
         return array("I", self.own.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         chunks = _SPACE.split(text) if _CONTROL.search(text) else text.split()
         memo = self.memo
-        if self.used > self.most:
+        if len(memo) > self.most:
             memo.clear()
-            self.used = 0
-        rare: dict[str, bytes] = {}
-        for c in set(chunks).difference(memo):
-            ids = self._ids(c)
-            self._keep(c, ids)
-            if c not in memo:
-                rare[c] = ids
-        return b"".join([rare[c] if c in rare else memo[c] for c in chunks]) if rare else b"".join(map(memo.__getitem__, chunks))
+        fresh = set(chunks).difference(memo)
+        rare = {c: self._ids(c) for c in fresh if len(c) > _LONGEST}
+        for c in fresh:
+            if len(c) <= _LONGEST:
+                memo[c] = self._ids(c)
+        return b"".join([rare[c] if len(c) > _LONGEST else memo[c] for c in chunks]) if rare else b"".join(map(memo.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)
