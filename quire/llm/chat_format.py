@@ -70,18 +70,21 @@ def preference_pairs(turns: DataFrame, params: ChatParams = ChatParams()) -> Dat
 
 def alternatives(conversations: DataFrame, role: str = "assistant") -> DataFrame:
     """turns(pair_id, side, turn, role, text): each conversation up to its last answer of `role` is chosen, and the same turns
-    with the answer before that in its place are rejected (no turn in its place if there is none before).
+    with the latest earlier answer of another text in its place are rejected, so neither side is empty.
 
-    pair_id is conv_id.  Of turns with one number the least (role, text) counts; rows without conversation or turn and
-    conversations without an answer give nothing."""
+    pair_id is conv_id.  A null text counts as empty.  Of turns with one number (ties, repeated rows) the least (role, text)
+    counts; rows without conversation or turn and conversations without two different answers give nothing; very long texts
+    and conversations stay whole; an empty table gives nothing; other columns don't matter."""
     rows = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("t"))
     whole = rows.groupBy(F.col("conv_id").alias("pair_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "t.role", "t.text"))).alias("all"))
-    whole = whole.withColumn("answers", F.filter("all", lambda t: t["role"] == role)).where(F.size("answers") > 0)
-    last, before = F.element_at("answers", -1), F.get("answers", F.size("answers") - 2)
+    said = lambda t: F.coalesce(t["text"], F.lit(""))
+    whole = whole.withColumn("answers", F.filter("all", lambda t: t["role"] == role)).where(F.size("answers") > 1)
+    whole = whole.withColumn("last", F.element_at("answers", -1)).withColumn("others", F.filter("answers", lambda t: said(t) != said(F.col("last")))).where(F.size("others") > 0)
+    last, before = F.col("last"), F.element_at("others", -1)
     mine = lambda side, t, says: F.struct(F.lit(side).alias("side"), t["turn"].alias("turn"), says["role"].alias("role"), says["text"].alias("text"))
     chosen = F.transform(F.filter("all", lambda t: t["turn"] <= last["turn"]), lambda t: mine("chosen", t, t))
     common = F.transform(F.filter("all", lambda t: t["turn"] < last["turn"]), lambda t: mine("rejected", t, t))
-    other = F.when(before.isNotNull(), F.array(mine("rejected", last, before))).otherwise(F.slice(common, 1, 0))
+    other = F.array(mine("rejected", last, before))
     return whole.select("pair_id", F.explode(F.concat(chosen, common, other)).alias("s")).select("pair_id", "s.*")
 
 
@@ -112,9 +115,10 @@ SQL = f"""
 with one as (select conv_id, turn, role, text from conversations where conv_id is not null and turn is not null
   qualify row_number() over (partition by conv_id, turn order by role nulls first, text nulls first) = 1),
 answers as (select conv_id, max(turn) as last from one where role = 'assistant' group by conv_id),
-before as (select conv_id, arg_max(text, turn) as text, max(turn) as turn from one join answers using (conv_id) where role = 'assistant' and turn < last group by conv_id),
-both_sides as (select conv_id as pair_id, 'chosen' as side, turn, role, text from one join answers using (conv_id) where turn <= last
-  union all select conv_id, 'rejected', turn, role, text from one join answers using (conv_id) where turn < last
+best as (select one.conv_id, coalesce(text, '') as said from one join answers on one.conv_id = answers.conv_id and turn = last),
+before as (select conv_id, arg_max(coalesce(text, ''), turn) as text, max(turn) as turn from one join answers using (conv_id) join best using (conv_id) where role = 'assistant' and turn < last and coalesce(text, '') <> said group by conv_id),
+both_sides as (select conv_id as pair_id, 'chosen' as side, turn, role, text from one join answers using (conv_id) where turn <= last and conv_id in (select conv_id from before)
+  union all select conv_id, 'rejected', turn, role, text from one join answers using (conv_id) where turn < last and conv_id in (select conv_id from before)
   union all select b.conv_id, 'rejected', a.last, 'assistant', b.text from before b join answers a using (conv_id)),
 d as (select distinct pair_id, side, turn, coalesce(role, '') as role, coalesce(text, '') as text from both_sides),
 t as (select *, row_number() over (partition by pair_id, side order by turn, role, text) as pos from d),

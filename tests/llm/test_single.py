@@ -214,12 +214,12 @@ def test_preferences(spark):
 
 
 def test_alternatives_share_a_prompt(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 2, "user", "more"), (1, 3, "assistant", "second"), (1, 4, "user", "bye"), (2, 0, "user", "q"), (2, 1, "assistant", "only"), (3, 0, "user", "none"), (4, 0, "assistant", None), (4, 0, "assistant", "b"), (None, 0, "assistant", "x"), (5, None, "assistant", "x")]
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 2, "user", "more"), (1, 3, "assistant", "second"), (1, 4, "user", "bye"), (2, 0, "user", "q"), (2, 1, "assistant", "only"), (3, 0, "user", "none"), (4, 0, "assistant", None), (4, 0, "assistant", "b"), (6, 0, "assistant", None), (6, 1, "assistant", "b"), (6, 2, "assistant", ""), (6, 3, "assistant", None), (7, 0, "assistant", "same"), (7, 1, "assistant", "same"), (None, 0, "assistant", "x"), (5, None, "assistant", "x")]
     df = spark.createDataFrame([*rows, rows[0]], "conv_id long, turn long, role string, text string").withColumn("side", F.lit(1)).withColumn("pair_id", F.lit(1))
     got = {r["pair_id"]: r for r in chat_format.preference_pairs(chat_format.alternatives(df)).collect()}
-    assert set(got) == {1, 2, 4}
+    assert set(got) == {1, 6} and all(r["chosen"] and r["rejected"] for r in got.values())
     assert got[1]["n_prompt_turns"] == 3 and "bye" not in got[1]["chosen"] and "second" in got[1]["chosen"] and "first" in got[1]["rejected"] and "first" in got[1]["prompt"]
-    assert got[2]["n_prompt_turns"] == 1 and got[2]["rejected"] == "" and got[4]["prompt"] == ""
+    assert got[6]["n_prompt_turns"] == 3 and "b" in got[6]["rejected"] and got[6]["chosen"] == "<|im_start|>assistant\n<|im_end|>\n"
     assert chat_format.preference_pairs(chat_format.alternatives(df.limit(0))).count() == 0
 
 
