@@ -134,6 +134,22 @@ def countries(text: Column) -> Column:
     return let(F.struct(norm(text).alias("t"), phrases.prepare(norm(text)).alias("p")), run)
 
 
+def containing(left: DataFrame, x: str, right: DataFrame, y: str, n: int = SHORTEST_PART) -> DataFrame:
+    """The pairs of rows where x contains y, as an equi-join: the first n letters of y (or all of a shorter y) meet the runs of as
+    many letters of x.  Empty y meet nothing."""
+    out = None
+    for size in range(1, n + 1):
+        runs = left.where(F.length(x) >= size).withColumn("__k", F.explode(F.array_distinct(_runs(x, size))))
+        short = right.where(F.length(y) == size if size < n else F.length(y) >= n).withColumn("__k", F.substring(y, 1, size))
+        met = runs.join(short, "__k").where(F.contains(x, y)).drop("__k")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def _runs(x: str, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substring(x, i, F.lit(size)))
+
+
 def allowed_value(candidates: DataFrame, allowed: DataFrame, column: str) -> DataFrame:
     """column, value, mode: exact match, then either contains the other (four letters or more), then the largest token
     overlap; the smallest name wins ties.  Blank candidates and blank allowed values match nothing.
@@ -143,15 +159,8 @@ def allowed_value(candidates: DataFrame, allowed: DataFrame, column: str) -> Dat
     c = candidates.select(F.col(column).alias("candidate")).distinct().withColumn("c", norm(F.col("candidate")))
     a = allowed.select("value", norm(F.col("value")).alias("a")).where("a <> ''").distinct()
     long = c.where(F.length("c") >= SHORTEST_PART)
-
-    def runs(x: str, n: int) -> Column:
-        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n))))).alias("k")
-
-    n = SHORTEST_PART
     exact = c.join(a, F.col("c") == F.col("a")).select("candidate", F.lit(1).alias("tier"), F.lit(0).alias("o"), "value")
-    holding = a.where(F.length("a") >= n).select("value", "a", runs("a", n)).join(long.withColumn("k", F.substring("c", 1, n)), "k").where(F.contains("a", "c"))
-    held = [long.select("candidate", "c", runs("c", size)).join(a.where(F.length("a") == size if size < n else F.length("a") >= n).withColumn("k", F.substring("a", 1, size)), "k").where(F.contains("c", "a")) for size in range(1, n + 1)]
-    partial = [x.select("candidate", F.lit(2).alias("tier"), F.lit(0).alias("o"), "value") for x in (holding, *held)]
+    partial = [x.select("candidate", F.lit(2).alias("tier"), F.lit(0).alias("o"), "value") for x in (containing(long, "c", a, "a"), containing(a, "a", long, "c"))]
     words = lambda df, x, *keep: df.select(*keep, F.explode(tokens(F.col(x))).alias("w"))
     overlap = words(c, "c", "candidate").join(words(a, "a", "value"), "w").groupBy("candidate", "value").agg((-F.count("*")).cast("int").alias("o")).select("candidate", F.lit(3).alias("tier"), "o", "value")
     found = exact
@@ -179,7 +188,27 @@ def match_score(doc: dict[str, Column], row: dict[str, Column]) -> Column:
     return out
 
 
-__all__ = ["allowed_value", "best_label", "constrain", "contains_phrase", "countries", "decide", "field_scores", "match_score", "tag", "tag_requests", "votes"]
+def best_rows(docs: DataFrame, rows: DataFrame, doc_id: str, row: str, of_doc: dict[str, str], of_row: dict[str, str]) -> DataFrame:
+    """doc_id, points, row: the metadata row with most points (see match_score) for each document that any row has points for;
+    the smallest row of equals.  of_doc and of_row name the columns of key, name, path and doc.
+
+    Documents and rows meet on equal keys and documents, and on names and paths that hold the row's; only those pairs get
+    points, so neither side need be small."""
+    both = [k for k in ("key", "name", "path", "doc") if k in of_doc and k in of_row]
+    d = docs.select(F.col(doc_id).alias("__d"), *[norm(F.col(of_doc[k])).alias(f"d_{k}") for k in both])
+    r = rows.select(F.col(row).alias("__r"), *[norm(F.col(of_row[k])).alias(f"r_{k}") for k in both])
+    pairs = None
+    for k in both:
+        a, b = d.select("__d", f"d_{k}"), r.select("__r", f"r_{k}").where(F.col(f"r_{k}") != "")
+        met = (containing(a, f"d_{k}", b, f"r_{k}") if k in ("name", "path") else a.join(b, F.col(f"d_{k}") == F.col(f"r_{k}"))).select("__d", "__r")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    points = match_score({k: F.col(f"d_{k}") for k in both}, {k: F.col(f"r_{k}") for k in both})
+    scored = pairs.distinct().join(d, "__d").join(r, "__r").where(points > 0)
+    best = scored.groupBy("__d").agg(F.max(F.struct(points.alias("points"), (-F.col("__r")).alias("r"))).alias("b"))
+    return best.select(F.col("__d").alias(doc_id), F.col("b.points").cast("long").alias("points"), (-F.col("b.r")).cast("long").alias(row))
+
+
+__all__ = ["best_rows", "allowed_value", "best_label", "constrain", "contains_phrase", "countries", "decide", "field_scores", "match_score", "tag", "tag_requests", "votes"]
 
 
 def provenance(sources: Column) -> Column:

@@ -231,6 +231,7 @@ def top_k(index: TextIndex, on: str, terms: list[str], k: int, first_blocks: int
     keep = reach.select("segment", "block").limit(LISTED_BLOCKS + 1).collect()
     if len(keep) <= LISTED_BLOCKS:
         read, n = _only(rows, keep), len(keep)
+        bounds.unpersist()  # the other way reads it again
     else:
         read, n = rows.join(reach.select("segment", "block"), ["segment", "block"]), reach.count()
     best = _scores(index, read, known, on).orderBy(F.round("score", 9).desc(), "key").limit(k).select("key", "score")  # sums of another order differ in their last bits

@@ -72,6 +72,21 @@ def _sql_rules() -> str:
     return text
 
 
+def _sql_counts() -> str:
+    """All rules one after the other, each with the number of its hits in the text as it is then."""
+    esc = lambda s: s.replace("'", "''")
+    java = lambda r: esc(r).replace(r"\$", "\0").replace(r"\(", "(").replace("$1", r"\1").replace("$2", r"\2").replace("\0", "$")
+    steps = ["s0 as materialized (select doc_id, text || ' sale prlce in 2041' as t, 0::bigint as n from documents)"]
+    for i, (_, kind, p, r) in enumerate(T.correction_rules()):
+        pattern = esc(p) if kind == "re" else "(?i)" + esc(T.quoted(p))
+        if kind == "lit":
+            new, hits = f"replace(t, '{esc(p)}', '{esc(r)}')", f"(length(t) - length(replace(t, '{esc(p)}', ''))) // {len(p)}"
+        else:
+            new, hits = f"regexp_replace(t, '{pattern}', '{java(r) if kind == 're' else esc(r)}', 'g')", f"len(regexp_extract_all(t, '{pattern}'))"
+        steps.append(f"s{i + 1} as materialized (select doc_id, {new} as t, n + {hits} as n from s{i})")
+    return f"with {', '.join(steps)} select doc_id, n as corrections from s{len(steps) - 1}"
+
+
 def html_accuracy(spark, d):
     return table(spark, d, "pages").select("page_id", A.html_accuracy(F.col("html")).alias("a")).select("page_id", "a.*")
 
@@ -253,9 +268,7 @@ def metadata_row_match(spark, d):
     """Every document against a stated sheet of rows (the nations stand in), the best row by points."""
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("row"), F.lower("n_name").alias("rname"), F.concat(F.lit("src"), F.col("n_nationkey")).alias("rpath"))
     docs = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("x "), F.col("lang"), F.lit(" "), F.col("source")).alias("name"))
-    score = tagging.match_score({"name": F.col("name"), "path": F.col("source")}, {"name": F.col("rname"), "path": F.col("rpath")})
-    pairs = docs.join(F.broadcast(rows), score > 0).groupBy("doc_id").agg(F.max(F.struct(score.alias("points"), (-F.col("row")).alias("r"))).alias("b"))
-    return pairs.select("doc_id", F.col("b.points").cast("long").alias("points"), (-F.col("b.r")).cast("long").alias("row"))
+    return tagging.best_rows(docs, rows, "doc_id", "row", {"name": "name", "path": "source"}, {"name": "rname", "path": "rpath"})
 
 
 GARBAGE = ("A", "GL", "CCAC8CFC6P", "74,564,570", "1.3E11", "A1:D10", "x=12345", "Total Amount", "ONE TWO THREE", "www.site.com page", "www.site.de page", "c:\\users\\x", "Jane Doe", "Société Générale", "12ab34567890", "report.pdf file")
@@ -344,6 +357,7 @@ p as (select doc_id, row, case when ('x ' || lang || ' ' || source) = rname then
 b as (select *, row_number() over (partition by doc_id order by points desc, row) as k from p where points > 0)
 select doc_id, points::bigint as points, row::bigint as row from b where k = 1""",
 }
+SQL["ocr_correction_counts"] = _sql_counts()
 SQL["ocr_corrections"] = f"select doc_id, sha256({_sql_rules()}) as corrected_hash from documents"
 
 

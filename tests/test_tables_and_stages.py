@@ -175,3 +175,24 @@ def test_odd_metadata_rows(spark):
     row = spark.createDataFrame([(v | {"doc category": "Memo", "record type code": "R1", "filename": ""},)], "v map<string,string>")
     got = row.select(metadata.explicit_tags(F.col("v")).alias("t"), metadata.join_values(F.col("v")).alias("k"), metadata.extended_values(F.col("v")).alias("e")).first()
     assert got["t"] == {"category": "Memo"} and got["k"] == {"file_name": "f.txt", "doc_id": "i9"} and got["e"] == {"record type code": "R1"}
+
+
+def test_rows_and_values_by_containment(spark):
+    from quire.functions.text import norm
+    from quire.operators import tagging
+
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("ab ") for _ in range(n))
+    docs = spark.createDataFrame([(i, word(r.randrange(9)), word(r.randrange(7)), r.choice(["k1", "k2", "", None])) for i in range(60)], "doc_id long, name string, path string, key string")
+    rows = spark.createDataFrame([(i, word(r.randrange(6)), word(r.randrange(5)), r.choice(["K1", "k3", ""])) for i in range(40)], "row long, rn string, rp string, rk string")
+    got = {x["doc_id"]: (x["points"], x["row"]) for x in tagging.best_rows(docs, rows, "doc_id", "row", {"name": "name", "path": "path", "key": "key"}, {"name": "rn", "path": "rp", "key": "rk"}).collect()}
+    score = tagging.match_score({"name": F.col("name"), "path": F.col("path"), "key": F.col("key")}, {"name": F.col("rn"), "path": F.col("rp"), "key": F.col("rk")})
+    want = {}
+    for x in docs.join(rows, score > 0).select("doc_id", "row", score.alias("s")).collect():
+        want[x["doc_id"]] = max(want.get(x["doc_id"], (0, 0)), (x["s"], -x["row"]))
+    assert got == {k: (s, -n) for k, (s, n) in want.items()} and len(got) > 30
+    values = tagging.allowed_value(docs, rows.select(F.col("rn").alias("value")), "name")
+    full = docs.select("name").distinct().withColumn("c", norm(F.col("name"))).join(rows.select(F.col("rn").alias("value"), norm(F.col("rn")).alias("a")).where("a <> ''").distinct(), (F.col("c") == F.col("a")) | ((F.length("c") >= 4) & (F.col("a").contains(F.col("c")) | F.col("c").contains(F.col("a")))))
+    first = {x["name"]: (x["m"]["t"], x["m"]["value"]) for x in full.groupBy("name").agg(F.min(F.struct(F.when(F.col("c") == F.col("a"), 1).otherwise(2).alias("t"), "value")).alias("m")).collect()}
+    tiers = {"exact": 1, "partial": 2}
+    assert {x["name"]: (tiers[x["mode"]], x["value"]) for x in values.collect() if x["mode"] in tiers} == first
