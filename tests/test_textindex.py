@@ -141,3 +141,16 @@ def test_incomplete_and_repeated_segments(spark, rows, tmp_path):
     assert {r["key"] for r in textindex.bm25(textindex.load(spark, path, lay), "text", ["report"]).collect()} == set(ranked(rows[:200], ["report"]))
     empty = textindex.append(str(tmp_path / "e"), make([(1, None, "x"), (2, "", "x")]), "id", ["text", "title"], "a", lay)
     assert textindex.bm25(empty, "text", ["x"]).count() == 0 and textindex.bm25(empty, "title", ["x"]).count() == 2
+
+
+def test_only_texts_are_shuffled_so_a_common_term_is_written_by_many_tasks(index):
+    at = textindex.postings(index, ["the"]).where("field = 'text'").selectExpr("segment", "input_file_name() as f").distinct().groupBy("segment").count().collect()
+    assert len(at) == 2 and all(r["count"] > 1 for r in at)  # before, a bucket of terms was one task
+
+
+def test_bounds_hold_for_the_mean_of_some_documents(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "MEAN_DOCS", 5)
+    i = textindex.append(str(tmp_path / "i"), spark.createDataFrame(rows, "id long, text string, title string"), "id", ["text"], "a", Layout(buckets=2, block_docs=20))
+    want = ranked(rows, ["report", "und"])
+    assert [r["key"] for r in textindex.top_k(i, "text", ["report", "und"], 20).rows.collect()] == sorted(want, key=lambda i: (-round(want[i], 9), i))[:20]
+    assert i.parts[0][2:] == (len(rows), sum(len(tokens(r[1])) for r in rows))
