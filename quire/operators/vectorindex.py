@@ -10,7 +10,7 @@ k-th found so far, by the angle to the centroid less the cell's largest angle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,26 +116,34 @@ def _meet(index: CellIndex, asked: DataFrame, k: int, least: float) -> DataFrame
     return base.groupBy(*on).cogroup(queries.groupBy(*on)).applyInArrow(_compare(k, least), MATCH)
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length, none of them null, without a Python object for each number."""
+    return np.concatenate([np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64) for c in vectors.chunks]).reshape(len(vectors), -1)
+
+
 def _compare(k: int, least: float):  # noqa: ANN202
     def run(base: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if base.num_rows and queries.num_rows:
-            v = _unit(np.array(base.column("vector").to_pylist(), np.float64))
+            v = _unit(_matrix(base.column("vector")))
             ids = base.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             v, ids = v[order], ids[order]
-            step = max(1, (1 << 22) // len(v))
+            step = max(1, (1 << 21) // len(v))
             for at in range(0, queries.num_rows, step):
                 part = queries.slice(at, step)
                 own = part.column("query_id").to_numpy()
-                s = np.round(_unit(np.array(part.column("vector").to_pylist(), np.float64)) @ v.T, 12)
+                s = np.round(_unit(_matrix(part.column("vector"))) @ v.T, 12)
                 s[(own[:, None] == ids[None, :]) | (s < least)] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # equals by id
-                top = np.take_along_axis(s, best, axis=1)
-                good = top > -np.inf
-                out_q.append(np.repeat(own[:, None], best.shape[1], axis=1)[good])
-                out_v.append(ids[best][good])
-                out_s.append(top[good])
+                reach = np.partition(s, len(v) - k, axis=1)[:, len(v) - k, None] if len(v) > k else -np.inf
+                row, col = np.nonzero((s >= reach) & (s > -np.inf))  # by id in a row
+                order = np.lexsort((col, -s[row, col], row))
+                row, col = row[order], col[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k  # equals by id
+                row, col = row[best], col[best]
+                out_q.append(own[row])
+                out_v.append(ids[col])
+                out_s.append(s[row, col])
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return pa.table({"query_id": cat(out_q, np.int64), "vec_id": cat(out_v, np.int64), "similarity": cat(out_s, np.float64)})
 
@@ -171,8 +179,9 @@ def search(index: CellIndex, queries: DataFrame, k: int, least: float = -1.0, ex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            step = max(1, (1 << 16) // len(centroids))  # every cell may be asked for
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 s = _unit(np.array(part.column(1).to_pylist(), np.float64)) @ centroids.T
                 seen = np.argsort(-s, axis=1, kind="stable")[:, :probes]
                 nearest = np.cos(np.maximum(0.0, np.arccos(np.clip(s, -1, 1)) - radii[None, :])) + 1e-7  # arccos is coarse near 1
@@ -186,9 +195,24 @@ def search(index: CellIndex, queries: DataFrame, k: int, least: float = -1.0, ex
     return _top(first.unionByName(_meet(index, more, k, least)), k)
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int, scratch: Callable[[], str], few: int = 4_096) -> DataFrame:
-    """The exact k best: up to `few` queries are one matrix that every task multiplies its rows with; more of them go through the
-    cells.  scratch() gives a new shared folder."""
+def in_blocks(base: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block_rows: int = 20_000) -> DataFrame:
+    """query_id, vec_id, similarity: the exact k best by comparing all pairs, a block of rows with a block of queries at a time.
+
+    Both sides are dealt by a hash of their id; a group is one block of each, so a task's memory doesn't grow with the table.
+    Work grows with rows times queries, and what is shuffled with that over block_rows."""
+    a, b = base.where("vector is not null").select("vec_id", "vector"), queries.where("vector is not null").select("query_id", "vector")
+    parts, asked = (max(1, -(-x.count() // block_rows)) for x in (a, b))
+
+    def dealt(rows: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    left, right = dealt(a, "vec_id", "part", parts, "asked", asked), dealt(b, "query_id", "asked", asked, "part", parts)
+    return _top(left.groupBy("part", "asked").cogroup(right.groupBy("part", "asked")).applyInArrow(_compare(k, least), MATCH), k)
+
+
+def nearest(base: DataFrame, queries: DataFrame, k: int, few: int = 4_096) -> DataFrame:
+    """The exact k best: up to `few` queries are one matrix that every task multiplies its rows with; more of them meet the rows
+    in blocks.  Cells aren't asked here: vectors of many dimensions leave hardly a cell out, and a query would be sent to each."""
     if queries.limit(few + 1).count() <= few:
         return best_matches(base, queries, k, block_rows=few)
-    return search(build(base, scratch()), queries, k, exact=True, scratch=scratch())
+    return in_blocks(base, queries, k)

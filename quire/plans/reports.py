@@ -154,7 +154,7 @@ def _vectors(spark, d):
 
 def cosine_matches(spark, d):
     base, asked = _vectors(spark, d)
-    return vectorindex.nearest(base, asked, 5, lambda: scratch(spark)).select("query_id", "vec_id")
+    return vectorindex.nearest(base, asked, 5).select("query_id", "vec_id")
 
 
 def near_vectors(spark, d):

@@ -196,3 +196,13 @@ def test_rows_and_values_by_containment(spark):
     first = {x["name"]: (x["m"]["t"], x["m"]["value"]) for x in full.groupBy("name").agg(F.min(F.struct(F.when(F.col("c") == F.col("a"), 1).otherwise(2).alias("t"), "value")).alias("m")).collect()}
     tiers = {"exact": 1, "partial": 2}
     assert {x["name"]: (tiers[x["mode"]], x["value"]) for x in values.collect() if x["mode"] in tiers} == first
+
+
+def test_blocks_of_pairs_find_what_brute_force_finds(spark, points):
+    base, asked = points
+    want = {(r["query_id"], r["vec_id"]) for r in vectors.best_matches(base, asked, 10).collect()}
+    assert {(r["query_id"], r["vec_id"]) for r in vectorindex.nearest(base, asked, 10, few=20).collect()} == want  # copies tie by id
+    assert {(r["query_id"], r["vec_id"]) for r in vectorindex.in_blocks(base, asked, 10, block_rows=70).collect()} == want
+    assert vectorindex.in_blocks(base, asked.limit(0), 3).count() == 0 and vectorindex.in_blocks(base.limit(0), asked, 3).count() == 0
+    plan = vectorindex.nearest(base, asked, 10, few=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "asked" in plan  # no query is sent to every cell
