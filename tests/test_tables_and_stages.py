@@ -206,3 +206,21 @@ def test_blocks_of_pairs_find_what_brute_force_finds(spark, points):
     assert vectorindex.in_blocks(base, asked.limit(0), 3).count() == 0 and vectorindex.in_blocks(base.limit(0), asked, 3).count() == 0
     plan = vectorindex.nearest(base, asked, 10, few=20)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "asked" in plan  # no query is sent to every cell
+
+
+def test_many_claims_run_out_from_one_bucket(spark, tmp_path):
+    """As taken one by one: open claims of a bucket that end at different times, equal times, and events without an id."""
+    r = np.random.default_rng(3)
+    parts = [[(int(i) if i < 40 else None, ["processing", "completed", "failed", "pending"][s], int(t)) for i, s, t in zip(r.integers(0, 41, 120), r.choice(4, 120, p=[0.7, 0.1, 0.1, 0.1]), 5000 * n + r.integers(0, 5000, 120))] for n in range(3)]
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, "id long, status string, s long").select("id", "status", F.timestamp_seconds("s").alias("at")).coalesce(1).write.parquet(str(tmp_path / f"in/part={n}"))
+    stream = spark.readStream.schema("id long, status string, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    want, events = [], sorted(((i, t, s) for rows in parts for i, s, t in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+    latest = max(t for _, t, _ in events)
+    for (i, t, s), (j, u, _) in zip(events, [*events[1:], (-1, 0, "")]):
+        want.append((i, s, t * 1000, False))
+        if s == "processing" and (t + 600 <= u if i == j else t + 600 < latest):
+            want.append((i, "pending", (t + 600) * 1000, True))
+    got = [tuple(x) for x in jobs.run_once(claims.claim_changes(stream, 600, buckets=2), "update").collect()]
+    order = lambda x: tuple((v is None, v or 0) for v in x[:1]) + x[1:]
+    assert sorted(got, key=order) == sorted(want, key=order)
