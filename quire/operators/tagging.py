@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import values as V
 from quire.functions.automaton import Phrases
 from quire.functions.text import contains_phrase, holds, let, norm, record_category, tokens
+from quire.session import written
 
 MOST_RAW, DEGRADED_CAP, THRESHOLD = 2.0, 1.20, 0.75
 SHORTEST_PART = 4  # letters of a candidate that may be part of an allowed value or hold one
@@ -271,6 +272,24 @@ def canonical_label(field: str, label: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), norm(label))
 
 
+def _with_modes(rows: DataFrame, allowed: DataFrame, few: int = 100_000, often: int = 100_000) -> DataFrame:
+    """rows with value and mode of their label __l (see allowed_value).
+
+    Most rows share a handful of labels, so rows are never dealt by label as they are: up to `few` distinct labels are
+    broadcast.  Beyond that those of more than `often` rows are, and only the rows of the others meet the rest by shuffle."""
+    counted = written(rows.groupBy("__l").agg(F.count("*").alias("__n")))
+    modes = written(allowed_value(counted, allowed, "__l"))
+    if modes.count() <= few:
+        return rows.join(F.broadcast(modes), "__l", "left")
+    known = modes.join(counted, "__l").select("__l", F.struct("value", "mode").alias("__m"), "__n")
+    told = rows.join(F.broadcast(known.where(F.col("__n") > often).drop("__n")), "__l", "left")
+    own = F.when(F.col("__m").isNull() & F.col("__l").isNotNull(), -1).otherwise(F.monotonically_increasing_id() % 10_000)  # what is told already or has no label lies anywhere
+    rest = known.where(F.col("__n") <= often).select("__l", F.col("__m").alias("__r"), F.lit(-1).cast("long").alias("__own"))
+    met = told.withColumn("__own", own).join(rest, ["__own", "__l"], "left")
+    found = F.coalesce("__m", "__r")
+    return met.withColumns({"value": found["value"], "mode": found["mode"]}).drop("__own", "__m", "__r")
+
+
 def tag_requests(docs: DataFrame, text: str, path: str, explicit: dict[str, str], derived: dict[str, str], allowed: dict[str, DataFrame] | None = None, feedback: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The whole tagger: docs with a struct (label, score, source, review) for each field, the dimensions and `tagging_status`.
 
@@ -302,8 +321,7 @@ def tag_requests(docs: DataFrame, text: str, path: str, explicit: dict[str, str]
 
         out = out.withColumn(field, let(found, settle))
         if allowed and field in allowed:
-            modes = allowed_value(out.select(F.col(f"{field}.label").alias("__l")), allowed[field], "__l")
-            out = out.withColumn("__l", F.col(f"{field}.label")).join(modes, "__l", "left")
+            out = _with_modes(out.withColumn("__l", F.col(f"{field}.label")), allowed[field])
             bound = constrain(F.col(f"{field}.score"), F.col("mode"))
             new = F.struct(F.coalesce("value", F.col(f"{field}.label")).alias("label"), bound["score"].alias("score"), F.concat(F.col(f"{field}.source"), F.lit("/"), bound["source"]).alias("source"), (F.col(f"{field}.review") | bound["forced"]).alias("review"))
             out = out.withColumn(field, new).drop("__l", "value", "mode")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import automaton
-from quire.operators import keyedtable, lineage, metadata, quantiles, stages, vectorindex, vectors
+from quire.operators import keyedtable, lineage, metadata, quantiles, stages, tagging, vectorindex, vectors
 from quire.operators.vectorindex import CellParams
 from quire.streaming import claims, jobs
 
@@ -198,16 +198,6 @@ def test_rows_and_values_by_containment(spark):
     assert {x["name"]: (tiers[x["mode"]], x["value"]) for x in values.collect() if x["mode"] in tiers} == first
 
 
-def test_blocks_of_pairs_find_what_brute_force_finds(spark, points):
-    base, asked = points
-    want = {(r["query_id"], r["vec_id"]) for r in vectors.best_matches(base, asked, 10).collect()}
-    assert {(r["query_id"], r["vec_id"]) for r in vectorindex.nearest(base, asked, 10, few=20).collect()} == want  # copies tie by id
-    assert {(r["query_id"], r["vec_id"]) for r in vectorindex.in_blocks(base, asked, 10, block_rows=70).collect()} == want
-    assert vectorindex.in_blocks(base, asked.limit(0), 3).count() == 0 and vectorindex.in_blocks(base.limit(0), asked, 3).count() == 0
-    plan = vectorindex.nearest(base, asked, 10, few=20)._jdf.queryExecution().optimizedPlan().toString()
-    assert "FlatMapCoGroupsInArrow" in plan and "asked" in plan  # no query is sent to every cell
-
-
 def test_many_claims_run_out_from_one_bucket(spark, tmp_path):
     """As taken one by one: open claims of a bucket that end at different times, equal times, and events without an id."""
     r = np.random.default_rng(3)
@@ -224,3 +214,24 @@ def test_many_claims_run_out_from_one_bucket(spark, tmp_path):
     got = [tuple(x) for x in jobs.run_once(claims.claim_changes(stream, 600, buckets=2), "update").collect()]
     order = lambda x: tuple((v is None, v or 0) for v in x[:1]) + x[1:]
     assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_blocks_of_pairs_find_what_brute_force_finds(spark, points):
+    base, asked = points
+    want = {(r["query_id"], r["vec_id"]) for r in vectors.best_matches(base, asked, 10).collect()}
+    assert {(r["query_id"], r["vec_id"]) for r in vectorindex.nearest(base, asked, 10, few=20).collect()} == want  # copies tie by id
+    assert {(r["query_id"], r["vec_id"]) for r in vectorindex.in_blocks(base, asked, 10, block_rows=70).collect()} == want
+    assert vectorindex.in_blocks(base, asked.limit(0), 3).count() == 0 and vectorindex.in_blocks(base.limit(0), asked, 3).count() == 0
+    plan = vectorindex.nearest(base, asked, 10, few=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "asked" in plan  # no query is sent to every cell
+
+
+def test_rows_are_not_dealt_by_label(spark):
+    allowed = spark.createDataFrame([("Invoice",), ("Own label",)], "value string")
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "invoice").when(F.col("id") % 2 == 0, F.concat(F.lit("label "), F.col("id") % 50)).alias("__l"))
+    want = rows.join(tagging.allowed_value(rows, allowed, "__l"), "__l", "left").select("id", "__l", "value", "mode")
+    for few, often in ((100, 100), (5, 500), (5, 5), (5, 10_000)):
+        got = tagging._with_modes(rows, allowed, few, often).select(*want.columns)
+        assert got.count() == 3000 and got.exceptAll(want).isEmpty()
+    plan = tagging._with_modes(rows, allowed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
